@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, neardup, sharding, toxicity
+from . import ann, langid, licenses, mixing, neardup, packing, rans, sharding, syncmers, toxicity
 from .common import held_out
 
 SHARD_BYTES = 8 << 20
@@ -15,6 +16,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_additive_quantisation(spark, sf_dir):
+    vectors = ann.valid(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), top=20)
+
+
 def op2_weighted_fair_mix(spark, sf_dir):
     return mixing.weighted_fair_mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,12 +33,22 @@ def op4_minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(_docs(spark, sf_dir))
 
 
+def op5_syncmer_fingerprints(spark, sf_dir):
+    return syncmers.fingerprints_with_neighbours(_docs(spark, sf_dir))
+
+
 def op6_byte_gru_langid(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_rans_token_files(spark, sf_dir):
+    tokens = rans.tokenised(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    freq = rans.Table.scaled(rans.count_ids(tokens))
+    return rans.read_back(rans.blocks(tokens, freq), freq)
+
+
 def op8_license_scan(spark, sf_dir):
     return licenses.license_scan(_docs(spark, sf_dir))
 
@@ -44,7 +60,14 @@ def op9_compression_toxicity(spark, sf_dir):
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_weighted_fair_mix, op3_extendible_shards, op4_minhash_neardup, op6_byte_gru_langid, op8_license_scan, op9_compression_toxicity)}
+def op10_cost_balanced_packing(spark, sf_dir):
+    return packing.packed(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_additive_quantisation, op2_weighted_fair_mix, op3_extendible_shards, op4_minhash_neardup, op5_syncmer_fingerprints, op6_byte_gru_langid,
+    op7_rans_token_files, op8_license_scan, op9_compression_toxicity, op10_cost_balanced_packing,
+)}
 
 _MIX = r"""
 with d as (
