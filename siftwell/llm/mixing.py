@@ -35,7 +35,8 @@ def fair_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeats: int = 3) -> D
 
     Water filling in closed form: with sources in ascending order of cap/weight, the level
     after capping the first k is (total - caps of those k) / (weights of the rest); the
-    first source whose cap/weight reaches its level, and all after it, stay uncapped.
+    first source whose cap/weight reaches its level, and all after it, stay uncapped. From
+    there on levels only fall, so the level sought is the largest that a source reaches.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
@@ -49,7 +50,7 @@ def fair_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeats: int = 3) -> D
         "level",
         (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(rest).cast("double"),
     )
-    full = level.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(every))
+    full = level.withColumn("level", F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(every))
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     return full.select("skey", "source", "source_size", "weight", target.alias("target"))
 

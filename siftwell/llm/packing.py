@@ -87,7 +87,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, cell: int = CE
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T._parse_datatype_string(SCHEMA)
     if with_ids:
-        schema = schema.add("ids", "array<long>")
+        schema = schema.add("ids", T.ArrayType(T.LongType()))
     names = schema.names
 
     def run(batches):

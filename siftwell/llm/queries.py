@@ -83,7 +83,7 @@ l as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap::double / weight::double, skey rows between unbounded preceding and 1 preceding), 0))::double
     / (sum(weight) over (order by cap::double / weight::double, skey rows between current row and unbounded following))::double lev from w),
 m as (
-  select min(lev) lev from l where cap::double >= lev * weight),
+  select max(lev) lev from l where cap::double >= lev * weight),
 t as (
   select skey, source_size, least(cap::double, coalesce(m.lev * weight, cap::double)) target from w cross join m),
 q as (

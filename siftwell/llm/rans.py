@@ -4,8 +4,8 @@ One frequency table, counted over all documents, is shared by all blocks. A bloc
 documents; its ids are dealt over interleaved lanes, each with a 64-bit state that gives off
 32-bit words, so numpy codes a step of all lanes at once. Blocks are independent of each other;
 a block also keeps checkpoints (the lanes' states and the place in the words every
-``EVERY`` steps), from which any part can be decoded alone, and checksums of its words and of
-its ids.
+``EVERY`` steps), from which any part can be decoded alone, and checksums of all that follows its
+header and of its ids.
 
 A block is bytes: magic, header, documents' ids and sizes, checkpoints, words. On a cluster the
 blocks are rows of a written table (``blocks``), which Spark's writer commits, so a lost
@@ -88,8 +88,8 @@ def encode_block(ids: np.ndarray, docs: np.ndarray, sizes: np.ndarray, start: in
     place = np.cumsum([0, *(len(w) for w in words)])
     body = np.concatenate(words).astype("<u4").tobytes() if steps else b""
     points = b"".join(struct.pack("<IQ", t, int(place[t])) + marks[t].astype("<u8").tobytes() for t in sorted(marks))
-    head = struct.pack(HEADER, n, lanes, steps, start, len(docs), len(marks), zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes()))
-    return MAGIC + head + docs.astype("<i8").tobytes() + sizes.astype("<i8").tobytes() + points + body
+    rest = docs.astype("<i8").tobytes() + sizes.astype("<i8").tobytes() + points + body
+    return MAGIC + struct.pack(HEADER, n, lanes, steps, start, len(docs), len(marks), zlib.crc32(rest), zlib.crc32(ids.astype("<u4").tobytes())) + rest
 
 
 def decode_block(block: bytes, table: Table, first_step: int = 0, last_step: int | None = None):
@@ -97,8 +97,10 @@ def decode_block(block: bytes, table: Table, first_step: int = 0, last_step: int
     if block[: len(MAGIC)] != MAGIC:
         raise ValueError("not a block")
     at = len(MAGIC)
-    n, lanes, steps, start, n_docs, n_marks, crc_body, crc_ids = struct.unpack_from(HEADER, block, at)
+    n, lanes, steps, start, n_docs, n_marks, crc_rest, crc_ids = struct.unpack_from(HEADER, block, at)
     at += struct.calcsize(HEADER)
+    if zlib.crc32(memoryview(block)[at:]) != crc_rest:
+        raise ValueError("the block is damaged")
     docs = np.frombuffer(block, "<i8", n_docs, at)
     sizes = np.frombuffer(block, "<i8", n_docs, at + 8 * n_docs)
     at += 16 * n_docs
@@ -107,10 +109,7 @@ def decode_block(block: bytes, table: Table, first_step: int = 0, last_step: int
         t, place = struct.unpack_from("<IQ", block, at)
         points.append((t, place, np.frombuffer(block, "<u8", lanes, at + 12)))
         at += 12 + 8 * lanes
-    body = block[at:]
-    if zlib.crc32(body) != crc_body:
-        raise ValueError("the block's words are damaged")
-    words = np.frombuffer(body, "<u4").astype(np.uint64)
+    words = np.frombuffer(block, "<u4", offset=at).astype(np.uint64)
     t0, place, x = max((p for p in points if p[0] <= first_step), key=lambda p: p[0])
     last = steps if last_step is None else min(last_step, steps)
     x, out = x.astype(np.uint64), np.empty((max(0, last - t0), lanes), dtype=np.uint32)
