@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import alignment, ranking
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in (ranking, alignment):
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
