@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import alignment, ranking
+from .plans import alignment, ranking, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (ranking, alignment):
+for _plan in (ranking, alignment, text):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
