@@ -40,7 +40,8 @@ def candidates(sides: DataFrame, folds: DataFrame, least: int = 3) -> DataFrame:
 
 
 def pairs(folds: DataFrame, cands: DataFrame, encs: DataFrame) -> DataFrame:
-    return encs.select("enc").join(folds, "enc").join(cands, "fold")
+    """Every encounter with its fold's candidates (broadcast: folds times the class vocabulary)."""
+    return encs.select("enc").join(folds, "enc").join(F.broadcast(cands), "fold")
 
 
 def by_continuity(grid: DataFrame, sides: DataFrame) -> DataFrame:
@@ -50,7 +51,22 @@ def by_continuity(grid: DataFrame, sides: DataFrame) -> DataFrame:
 
 def by_frequency(grid: DataFrame, sides: DataFrame, folds: DataFrame) -> DataFrame:
     n = out_of_fold(added(sides), folds, ["cls"])
-    return grid.join(n, ["fold", "cls"], "left").select("enc", "cls", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("score"))
+    return grid.join(F.broadcast(n), ["fold", "cls"], "left").select("enc", "cls", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("score"))
+
+
+def frequency_top(sides: DataFrame, folds: DataFrame, cands: DataFrame, k: int) -> DataFrame:
+    """The first k of the frequency order without current classes: (enc, cls, score, rank).
+
+    All encounters of a fold share one order, so an encounter with m current classes only needs
+    its fold's first k + m; the product of encounters and candidates is never made.
+    """
+    n = out_of_fold(added(sides), folds, ["cls"])
+    order = cands.join(n, ["fold", "cls"], "left").select("fold", "cls", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("score"))
+    order = order.withColumn("place", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("score"), "cls")))
+    need = folds.join(before(sides).groupBy("enc").agg(F.count("*").alias("m")), "enc", "left").select("enc", "fold", (F.coalesce("m", F.lit(0)) + k).alias("need"))
+    near = need.join(F.broadcast(order), "fold").where("place <= need")  # folds times the class vocabulary
+    kept = near.select("enc", "cls", "score", "place").join(before(sides), ["enc", "cls"], "left_anti")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("enc").orderBy("place"))).where(F.col("rank") <= k).drop("place")
 
 
 def by_hash(grid: DataFrame, seed: str = "20260915") -> DataFrame:
@@ -101,7 +117,7 @@ def pmi(conditions: DataFrame, sides: DataFrame, folds: DataFrame, joint: int =
 def by_hybrid(grid: DataFrame, rules: DataFrame, conditions: DataFrame, sides: DataFrame, folds: DataFrame, rule_weight: float = 0.5) -> DataFrame:
     """Log base rate plus the best PMI (which may be negative; 0 without any) plus weighted rules."""
     n = out_of_fold(folds.select("enc"), folds, []).withColumnRenamed("n", "total")
-    base = grid.join(out_of_fold(added(sides), folds, ["cls"]), ["fold", "cls"], "left").join(n, "fold")
+    base = grid.join(F.broadcast(out_of_fold(added(sides), folds, ["cls"])), ["fold", "cls"], "left").join(F.broadcast(n), "fold")
     base = base.select("enc", "cls", F.log(F.coalesce(F.col("n").cast("double"), F.lit(0.5)) / F.col("total").cast("double")).alias("base"))
     best = features(conditions, sides).join(folds, "enc").join(pmi(conditions, sides, folds), ["fold", "feat"]).groupBy("enc", "cls").agg(F.max("pmi").alias("pmi"))
     symbolic = by_rules(grid, rules, conditions, sides).withColumnRenamed("score", "rules")

@@ -319,8 +319,9 @@ def candidate_filter(spark, sf):
 
 @register("class_warning", f"with {R}, {v.scores_sql('frequency')}, {v.ranked_sql()}, sub as (select distinct user_id enc, cls || '01' cls from events join pool on pool.i = cast(json_extract(props, '$.k') as int) * 3 % pool.n where event_type = 'error') select r.enc, r.cls, rnk::int as rank, case when exists (select 1 from sub where sub.enc = r.enc and starts_with(sub.cls, r.cls)) then 'allergy within the class' end as note from ranked r where rnk <= 5")
 def class_warning(spark, sf):
-    s, f, g = v.grid(spark, sf)
-    r = rk.ordered(rk.by_frequency(g, s, f), rk.before(s)).where("rank <= 5")
+    s = v.sides(spark, sf).cache()
+    f = v.folds(s)
+    r = rk.frequency_top(s, f, rk.candidates(s, f), 5)
     sub = allergies(spark, sf, s).withColumn("cls", F.concat("cls", F.lit("01")))
     return ru.class_warnings(r, sub).select("enc", "cls", "rank", "note")
 

@@ -36,7 +36,12 @@ def scores(kind, spark, sf, unit=3):
     return s, f, rk.by_hybrid(g, v.rules(spark), cond, s, f)
 
 
-def ranked(kind, spark, sf, unit=3):
+def ranked(kind, spark, sf, unit=3, k=None):
+    """(sides, folds, ranked); with k, only the first k of the frequency order are made."""
+    if kind == "frequency" and k:
+        s = v.sides(spark, sf, unit).cache()
+        f = v.folds(s)
+        return s, f, rk.frequency_top(s, f, rk.candidates(s, f), k)
     s, f, sc = scores(kind, spark, sf, unit)
     return s, f, rk.ordered(sc, rk.before(s))
 
@@ -55,7 +60,7 @@ def hier(kind, unit):
     levels = [n for n in ev.LEVELS if n <= unit]
 
     def query(spark, sf):
-        s, _, r = ranked(kind, spark, sf, unit)
+        s, _, r = ranked(kind, spark, sf, unit, K)
         return ev.macro(ev.hierarchical(proposal(s, r), rk.after(s), levels))
 
     sql = f"with {v.base_sql(unit)}, {v.scores_sql(kind)}, {v.ranked_sql()}" + HIER.format(levels=", ".join(f"({n})" for n in levels)) + " select level::int as level, round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(f), 6) as f1, count(*) as n_enc from per group by 1"
@@ -72,7 +77,7 @@ _RANKED = f"with {v.base_sql(3)}, {v.scores_sql('frequency')}, {v.ranked_sql()}"
 @register("topk_hit_by_level", _RANKED + """, lev(n) as (values (1), (3)), h as (select n, enc, max(cast(exists (select 1 from ranked r where r.enc = a.enc and r.rnk <= 5 and substr(r.cls,1,n) = substr(a.cls,1,n)) as int)) hit from adds a, lev group by 1, 2)
 select n::int as level, round(avg(hit::double), 6) as hit_rate, count(*) as n_enc from h group by 1""")
 def topk(spark, sf):
-    s, _, r = ranked("frequency", spark, sf)
+    s, _, r = ranked("frequency", spark, sf, k=5)
     return ev.top_k_hits(r, rk.added(s), K, (1, 3))
 
 
@@ -80,7 +85,7 @@ def topk(spark, sf):
 g as (select enc, n, k, (select count(*) from ranked r join adds a on a.enc = r.enc and a.cls = r.cls where r.enc = n.enc and r.rnk <= k) h from n, ks)
 select k::int as k, round(avg(h::double / n), 6) as recall, round(avg(h::double / k), 6) as precision, count(*) as n_enc from g group by 1""")
 def at_k(spark, sf):
-    s, _, r = ranked("frequency", spark, sf)
+    s, _, r = ranked("frequency", spark, sf, k=10)
     return ev.at_k(r, rk.added(s))
 
 
@@ -176,7 +181,7 @@ select s.level::int as level, any_value(mean) as mean, round(max(m) filter (j =
 
 @register("bootstrap_ci_hash", _RANKED + HIER.format(levels="(1), (3)") + ", src as (select level, enc, f val from per)" + _BOOT.format(src="src"))
 def bootstrap(spark, sf):
-    s, _, r = ranked("frequency", spark, sf)
+    s, _, r = ranked("frequency", spark, sf, k=5)
     return ev.bootstrap(ev.hierarchical(proposal(s, r), rk.after(s), (1, 3)), ["level"], "f1", 100)
 
 
@@ -185,7 +190,7 @@ m2 as (select coalesce(p.n, t.n) n, coalesce(p.enc, t.enc) enc, count(p.c) np, c
 src as (select level, per.enc, f - 2 * nh::double / (np + nt) val from per join m2 on m2.n = per.level and m2.enc = per.enc)""" + _BOOT.format(src="src"))
 def paired(spark, sf):
     """Frequency's proposal against continuing the classes before, encounter by encounter."""
-    s, _, r = ranked("frequency", spark, sf)
+    s, _, r = ranked("frequency", spark, sf, k=5)
     a = ev.hierarchical(proposal(s, r), rk.after(s), (1, 3)).select("level", "enc", "f1")
     b = ev.hierarchical(rk.before(s), rk.after(s), (1, 3)).select("level", "enc", F.col("f1").alias("other"))
     return ev.bootstrap(a.join(b, ["level", "enc"]).withColumn("diff", F.col("f1") - F.col("other")), ["level"], "diff", 100)
@@ -193,7 +198,7 @@ def paired(spark, sf):
 
 @register("explainability", f"with {v.base_sql(3)}, {v.scores_sql('frequency')}, {v.ranked_sql()}, fired as (select distinct enc, rule_id from rules r join cond on kind = 'cond' and starts_with(cond, tr) union select distinct enc, rule_id from rules r join bef on kind = 'therapy' and starts_with(cls, tr)), x as (select r.enc, r.cls, exists (select 1 from fired join rules using (rule_id) where fired.enc = r.enc and starts_with(r.cls, target)) e, exists (select 1 from aft where aft.enc = r.enc and aft.cls = r.cls) h from ranked r where rnk <= 5) select count(*) as n, count(*) filter (e) as explained, round(avg(e::int), 6) as share, round(avg(h::int) filter (e), 6) as hits_explained, round(avg(h::int) filter (not e), 6) as hits_other from x")
 def explainability(spark, sf):
-    s, f, r = ranked("frequency", spark, sf)
+    s, f, r = ranked("frequency", spark, sf, k=5)
     cond = v.conditions(spark, sf).join(f.select("enc"), "enc", "left_semi")
     top = r.where("rank <= 5").select("enc", "cls")
     e = rk.by_rules(top, v.rules(spark), cond, s).withColumn("e", F.col("score") > 0)
@@ -203,7 +208,7 @@ def explainability(spark, sf):
 
 @register("micro_recall_coarse", _RANKED + ", a as (select distinct enc, substr(cls,1,1) c from adds) select count(*) as n, round(avg(cast(exists (select 1 from ranked r where r.enc = a.enc and rnk <= 5 and substr(r.cls,1,1) = a.c) as int)), 6) as recall from a")
 def micro_recall(spark, sf):
-    s, _, r = ranked("frequency", spark, sf)
+    s, _, r = ranked("frequency", spark, sf, k=5)
     a, b = ev.truncated(rk.added(s), "cls", (1,)), ev.truncated(r.where("rank <= 5"), "cls", (1,)).withColumn("h", F.lit(1.0))
     return a.join(b, ["level", "enc", "c"], "left").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("h", F.lit(0.0))), 6).alias("recall"))
 
@@ -227,7 +232,7 @@ def weight_sweep(spark, sf):
 @register("meeting_level", _RANKED + ", x as (select r.enc, r.cls, max(case when r.cls = a.cls then 2 when substr(r.cls,1,1) = substr(a.cls,1,1) then 1 else 0 end) l from ranked r join adds a using (enc) where rnk <= 5 group by 1, 2) select l::int as level, count(*) as n from x group by 1".replace("r join adds a using (enc)", "r join adds a on a.enc = r.enc"))
 def meeting_level(spark, sf):
     """How deep a proposal meets an addition: levels shared with the nearest one."""
-    s, _, r = ranked("frequency", spark, sf)
+    s, _, r = ranked("frequency", spark, sf, k=5)
     levels = (1, 3)
     a = rk.added(s)
     top = r.where("rank <= 5").select("enc", "cls").join(a.select("enc").distinct(), "enc", "left_semi")
