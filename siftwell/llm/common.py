@@ -50,3 +50,10 @@ def held_out(doc_id: Column) -> Column:
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker process."""
     return sys.__dict__.setdefault("_siftwell_cache", {})
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, so that batches of texts stay small in JVM and worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import by_value
+from .common import by_value, small_batches
 from .tokens import text_slices, worker_encoder
 
 by_value(__name__)
@@ -83,6 +83,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, cell: int = CELL, end: int = END, blank_leads: bool = False, with_ids: bool = False) -> DataFrame:
     """One row per piece; with_ids adds the ids themselves. tokenizer: path of the tokenizer file."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T._parse_datatype_string(SCHEMA)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, parallelism, written
+from .common import by_value, parallelism, small_batches, written
 from .tokens import text_slices, worker_encoder
 
 by_value(__name__)
@@ -164,6 +164,7 @@ def tokenised(docs: DataFrame, tokenizer: str, blank_leads: bool = True, end: in
     before: ids of the documents of the bucket that stand before it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
 

@@ -1,13 +1,17 @@
 """Bulk encoding with a public tokenizer file of the tokenizers library.
 
-Gibberish apart, most of a text's words recur. Texts are cut before blanks, where neither
-tokenizer family ever joins tokens, the pieces of a slice are made distinct by Arrow, and only
-pieces that the worker has not seen lately go to the tokenizer. A byte-level text in which a
-blank is followed by white space is encoded whole instead, as white-space runs join there.
+Gibberish apart, most of a text's words recur. Texts are cut before blanks and at the ends of
+runs of letters, where neither tokenizer family ever joins tokens, the pieces of a slice are
+made distinct by Arrow, and only pieces that the worker has not seen lately go to the tokenizer:
+words of letters straight to its model, others through all of its steps. A byte-level text in which a blank is followed by white space is encoded whole instead, as
+white-space runs join there.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,10 +20,20 @@ from .common import by_value, worker_cache
 
 by_value(__name__)
 
-CACHE, LONGEST = 250_000, 64
+CACHE, LONGEST = 120_000, 64
+#: Stands between pieces of a text; texts that hold one are encoded whole.
+CUT = "\x01"
 _BLANK_RUN = r" [\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def byte_characters() -> list[str]:
+    """The visible character of each byte in byte-level vocabularies: its own where it is
+    printable, else one from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
 class Encoder:
     def __init__(self, definition: str, blank_leads: bool):
         """definition: the tokenizer file's text. blank_leads: a word's token holds the blank before it."""
@@ -30,21 +44,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.blank_leads, self.known = blank_leads, {}
+        self.blank_leads, self.known, self.older = blank_leads, {}, {}
+        self.table = byte_characters()
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters straight from the model: such a word is one piece to both
+        families' rules, so only its normal form and its bytes' characters are left to make."""
+        model, table, lower = self.tokenizer.model.tokenize, self.table, not self.blank_leads
+        out = []
+        for w in words:
+            if lower:
+                w = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
+            out.append(array("I", [t.id for t in model("".join([table[b] for b in w.encode()]))]).tobytes())
+        return out
+
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
+        """Ids of pieces, by two generations of remembered ones: what is used again stays."""
+        known, older = self.known, self.older
         out = [known.get(p) for p in pieces]
-        missing = [i for i, x in enumerate(out) if x is None]
-        for i, raw in zip(missing, self._raw([pieces[i] for i in missing])):
-            out[i] = raw
-            if len(pieces[i]) <= LONGEST:
-                known[pieces[i]] = raw
+        missing = []
+        for i, x in enumerate(out):
+            if x is None:
+                x = older.get(pieces[i])
+                if x is None:
+                    missing.append(i)
+                else:
+                    out[i] = known[pieces[i]] = x
+        plain, other = [], []
+        for i in missing:
+            w = pieces[i][1:] if self.blank_leads and pieces[i][:1] == " " else pieces[i].strip(" ")
+            # a capital sigma's lower case hangs on its place, and some lower cases are not one
+            # run of letters: the normaliser's business
+            easy = w.isalpha() and (self.blank_leads or w.isascii() or "\u03a3" not in w and unicodedata.normalize("NFC", w).lower().isalpha())
+            (plain if easy else other).append(i)
+        for which, made in ((plain, self._words([pieces[i] if self.blank_leads else pieces[i].strip(" ") for i in plain])), (other, self._raw([pieces[i] for i in other]))):
+            for i, raw in zip(which, made):
+                out[i] = raw
+                if len(pieces[i]) <= LONGEST:
+                    known[pieces[i]] = raw
+        if len(known) > CACHE:
+            self.known, self.older = {}, known
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,23 +95,22 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        whole = np.zeros(n, dtype=bool)
-        if self.blank_leads:
-            whole = pc.match_substring_regex(texts, _BLANK_RUN).to_numpy(zero_copy_only=False)
+        odd = CUT + (f"|{_BLANK_RUN}" if self.blank_leads else "")
+        whole = pc.match_substring_regex(texts, odd).to_numpy(zero_copy_only=False)
         apart = texts if not whole.any() else pc.if_else(pa.array(whole), "", texts)
-        cut = pc.split_pattern(apart, " ")
+        # a cut before each blank, and at both ends of a run of letters and marks (not after an apostrophe)
+        apart = pc.replace_substring(apart, " ", CUT + " ")
+        apart = pc.replace_substring_regex(apart, r"([\pL\pM])([^\pL\pM \x01])", r"\1" + CUT + r"\2")
+        apart = pc.replace_substring_regex(apart, r"([^\pL\pM \x01'])([\pL\pM])", r"\1" + CUT + r"\2")
+        cut = pc.split_pattern(apart, CUT)
         flat = cut.flatten().dictionary_encode()
         code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        words = flat.dictionary.to_pylist()
-        values = self._ids([" " + w for w in words] if self.blank_leads else words)
-        if self.blank_leads:  # a text's first piece has no blank before it
-            code[starts] = len(values) + np.arange(n)
-            first = flat.indices.take(pa.array(starts)).to_pylist()
-            values += self._ids([words[i] for i in first])
-            for i, raw in zip(np.flatnonzero(whole).tolist(), self._raw([texts[int(i)].as_py() for i in np.flatnonzero(whole)])):
-                values[len(words) + i] = raw
+        values = self._ids(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
+        if whole.any():  # such a text is one piece
+            code[starts[whole]] = len(values) + np.arange(int(whole.sum()))
+            values += self._raw([texts[int(i)].as_py() for i in np.flatnonzero(whole)])
         table = np.frombuffer(b"".join(values), dtype=np.uint32)
         width = np.array([len(v) for v in values], dtype=np.int64) // 4
         offset = np.cumsum(width) - width

@@ -232,7 +232,7 @@ def test_licenses(spark, odd, empty):
     assert got == {5: "Apache-2.0-reference"}
 
 
-TRICKY = ["", " ", "a  b", "a \n b", "tabs\t\tand  runs   of    blanks ", " lead", "don't we'll I'm", "<|endoftext|> x", "été 中文 😀 x 　y", "a  b", "x\r\n\r\n y", "1 22 333", "ÀÉ ΣΑΣ Σ", "é ́a", "word " * 50]
+TRICKY = ["", " ", "a  b", "a \n b", "tabs\t\tand  runs   of    blanks ", " lead", "don't we'll I'm", "<|endoftext|> x", "été 中文 😀 x 　y", "a  b", "x\r\n\r\n y", "1 22 333", "ÀÉ ΣΑΣ Σ", "é ́a", "word " * 50, "Straße ÉCOLE naïve Ǆ ﬁn İstanbul", "e\u0301te\u0301 a\u0300b", "x,y;z.\nÀ-b 'quoted' it's o'neill'll", "\x01cut \ue000", "中文字,かな 한글", "a1b22c"]
 
 
 @pytest.mark.parametrize(("file", "leads"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
