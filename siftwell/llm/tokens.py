@@ -20,7 +20,7 @@ from .common import by_value, worker_cache
 
 by_value(__name__)
 
-CACHE, LONGEST = 120_000, 64
+CACHE, LONGEST = 400_000, 64
 #: Stands between pieces of a text; texts that hold one are encoded whole.
 CUT = "\x01"
 _BLANK_RUN = r" [\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
