@@ -1,15 +1,21 @@
-"""Approximate nearest neighbours by additive quantisation.
+"""Nearest neighbours by additive quantisation, with an exact rerank.
 
 ``BOOKS`` codebooks of full-dimensional codewords, whose sum stands for a vector, are fitted on a
 bounded sample (``SAMPLE`` vectors by hash order of the id): residual k-means first, then rounds of
 beam-search encoding and a least-squares update of all codewords at once. Every vector is
 encoded by beam search and stored as one byte per codebook, with its norm as a correction of the
-length of its approximation. A query's inner products with all codewords make a lookup table, a
-candidate's score is the sum of its table entries times its correction, and the best ``RERANK``
-of each query are reranked by the exact inner product of the original vectors.
+length of its approximation and with the length of what the approximation leaves open. A query's
+inner products with all codewords make a lookup table, and a candidate's score is the sum of its
+table entries times its correction.
 
-Queries meet codes in blocks: blocks of codes are dealt to each block of queries by a key, and
-a task keeps only the best of each query, so neither scores nor pairs are written out.
+The exact inner product of a candidate lies within the query's length times the length left open
+of that score (Cauchy-Schwarz). The best ``RERANK`` codes of a query are reranked first, which gives
+it a least score; then every vector whose bound reaches that score is reranked too. So no neighbour
+is lost at any number of vectors: codes save work only where they are close enough to exclude rows.
+
+Queries meet codes in blocks, which hold the vectors too: blocks of codes are dealt to each block
+of queries by a key, and a task keeps only the best of each query, so neither scores nor pairs
+are written out.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have another
 length than most, take no part, nor do null ids; a query with fewer candidates than asked gets
@@ -29,7 +35,7 @@ from .common import by_value, parallelism, written
 by_value(__name__)
 
 BOOKS, WORDS, BEAM, SAMPLE, ROUNDS, RERANK = 8, 256, 8, 12_000, 2, 200
-CODE_BLOCK, QUERY_BLOCK = 4096, 512
+CODE_BLOCK, QUERY_BLOCK, QUERY_SLICE = 4096, 4096, 512
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -116,8 +122,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def compact(x: np.ndarray) -> bytes:
+    """As 4-byte floats where that loses nothing, else as 8-byte floats."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return (small if (small == x).all() else x.astype(np.float64)).tobytes()
+
+
+def expanded(data: bytes, rows: int, dims: int) -> np.ndarray:
+    kind = np.float32 if len(data) == 4 * rows * dims else np.float64
+    return np.frombuffer(data, dtype=kind).reshape(rows, dims).astype(np.float64)
+
+
 def encoded(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """Written blocks of codes: block, ids, codes and corrections as bytes."""
+    """Written blocks of codes: block, ids, codes, corrections, lengths left open and vectors as bytes."""
     shared = rows.sparkSession.sparkContext.broadcast(books)
 
     def run(batches):
@@ -125,20 +143,25 @@ def encoded(rows: DataFrame, books: np.ndarray) -> DataFrame:
 
         books = shared.value
         held, count, number, task = [], 0, 0, TaskContext.get().partitionId()
+        lengths = np.sqrt((books.astype(np.float64) ** 2).sum(2))
+        # what 4-byte sums over the dimensions and codebooks can be off by, as a share of the lengths
+        blur = 2.0**-22 * (books.shape[2] + len(books) + 8)
 
         def flush():
-            ids, codes, fix = (np.concatenate(x) for x in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([fix.tobytes()], pa.binary())], names=["block", "ids", "codes", "fix"])
+            ids, codes, fix, left, x = (np.concatenate(x) for x in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + number], pa.int64()), *[pa.array([b], pa.binary()) for b in (ids.tobytes(), codes.tobytes(), fix.tobytes(), left.tobytes(), compact(x))]], names=["block", "ids", "codes", "fix", "open", "vs"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, CODE_BLOCK):
                 part = batch.slice(i, CODE_BLOCK)
                 x = matrix(part.column(1))
                 codes = encode(x.astype(np.float32), books)
-                near = sum(books[m][codes[:, m]] for m in range(len(books))).astype(np.float64)
-                size = np.sqrt((near * near).sum(1))
-                fix = np.where(size > 0, np.sqrt((x * x).sum(1)) / np.maximum(size, 1e-30), 1.0)
-                held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), codes, np.clip(fix, 0.5, 2.0).astype(np.float32)))
+                near = sum(books[m][codes[:, m]].astype(np.float64) for m in range(len(books)))
+                size, full = np.sqrt((near * near).sum(1)), np.sqrt((x * x).sum(1))
+                fix = np.clip(np.where(size > 0, full / np.maximum(size, 1e-30), 1.0), 0.5, 2.0).astype(np.float32)
+                sums = sum(lengths[m][codes[:, m]] for m in range(len(books)))
+                left = np.sqrt(((x - fix[:, None] * near) ** 2).sum(1)) + blur * (fix * sums + full)
+                held.append((part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), codes, fix, left, x))
                 count += part.num_rows
                 if count >= CODE_BLOCK:
                     yield flush()
@@ -146,7 +169,7 @@ def encoded(rows: DataFrame, books: np.ndarray) -> DataFrame:
         if held:
             yield flush()
 
-    return written(rows.mapInArrow(run, "block long, ids binary, codes binary, fix binary"), "codes")
+    return written(rows.mapInArrow(run, "block long, ids binary, codes binary, fix binary, open binary, vs binary"), "codes")
 
 
 def _gather(batches):
@@ -154,7 +177,7 @@ def _gather(batches):
     key, ids, vs = None, [], []
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), pa.array([np.stack(vs).astype(np.float32).tobytes()], pa.binary())], names=["qb", "qids", "qv"])
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), pa.array([compact(np.stack(vs))], pa.binary())], names=["qb", "qids", "qv"])
 
     for batch in batches:
         m = matrix(batch.column(2)) if batch.num_rows else None
@@ -169,6 +192,60 @@ def _gather(batches):
         yield flush()
 
 
+class Best:
+    """The ``top`` best (query, id, score) of each of n queries, and the least score that still counts."""
+
+    def __init__(self, n: int, top: int):
+        self.top, self.least = top, np.full(n, -np.inf)
+        self.q, self.i, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
+        q, i, s = np.concatenate([self.q, q]), np.concatenate([self.i, i]), np.concatenate([self.s, s])
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.top
+        self.q, self.i, self.s = q[keep], i[keep], s[keep]
+        last = place == self.top - 1
+        self.least[q[last]] = s[last]
+
+
+def products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Inner products of rows i of a and rows j of b; a pair's value depends on nothing else."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), step):
+        out[k : k + step] = (a[i[k : k + step]] * b[j[k : k + step]]).sum(axis=1)
+    return out
+
+
+def rerank_block(best: Best, at: np.ndarray, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, score: np.ndarray, left: np.ndarray, rerank: int) -> None:
+    """All of a block that can be among the best of queries ``at``; score: (rows, queries) by code."""
+    top = best.top
+    sizes, longest = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+    with np.errstate(over="ignore", invalid="ignore"):
+        reach = score + left[:, None] * sizes[None, :]
+    own = ids[:, None] == qids[None, :]
+    least = best.least[at].copy()
+    first = np.flatnonzero(least == -np.inf)
+    if len(first) and len(ids) > rerank >= top:
+        for k in first:
+            c = np.argpartition(-np.where(own[:, k], -np.inf, score[:, k]), rerank - 1)[:rerank]
+            c = c[~own[c, k]]
+            if len(c) >= top:
+                least[k] = np.partition(x[c] @ q[k], len(c) - top)[len(c) - top]
+    # the matrix product rounds otherwise than products(), and nothing may hang on that
+    blur = 2.0**-50 * (x.shape[1] + 8) * (longest.max(initial=0.0) * sizes)
+    can = ~own & ~(reach < (least - blur)[None, :])
+    rows = np.flatnonzero(can.any(axis=1))
+    if not len(rows):
+        return
+    exact = np.where(can[rows], x[rows] @ q.T, -np.inf)
+    if len(rows) > top:
+        least = np.maximum(least, np.partition(exact, len(rows) - top, axis=0)[len(rows) - top])
+    r, k = np.nonzero(can[rows] & (exact >= (least - 2 * blur)[None, :]))
+    best.add(at[k], ids[rows[r]], products(q, x, k, rows[r]))
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = 20, rerank: int = RERANK, books: np.ndarray | None = None) -> DataFrame:
     """query_id, rank, vec_id, score. vectors, queries: as from ``valid``; a query skips its own id."""
     spark = vectors.sparkSession
@@ -187,61 +264,41 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, rerank: int =
     qb = qb.repartition(parts, "qb").sortWithinPartitions("qb", "vec_id").mapInArrow(_gather, "qb int, qids binary, qv binary")
     qb = qb.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = codes.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    met = dealt.join(qb, ["qb", "salt"]).select("qb", "salt", "ids", "codes", "fix", "qids", "qv")
+    met = dealt.join(qb, ["qb", "salt"]).select("qb", "salt", "ids", "codes", "fix", "open", "vs", "qids", "qv")
     met = met.repartition(parts, "qb", "salt").sortWithinPartitions("qb", "salt")
     shared = spark.sparkContext.broadcast(books)
 
     def scan(batches):
         books = shared.value
-        m, k, d = books.shape
-        key, qids, table, best_s, best_i = None, None, None, None, None
+        m, _, d = books.shape
+        key, qids, qm, table, best = None, None, None, None, None
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(qids), pa.array([r.tobytes() for r in best_i], pa.binary()), pa.array([r.tobytes() for r in best_s], pa.binary())], names=["query_id", "ids", "scores"])
+            return pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.i), pa.array(best.s)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for qblock, salt, ids, code, fix, q, qv in zip(*cols):
+            cols = [batch.column(i).to_pylist() for i in range(9)]
+            for qblock, salt, ids, code, fix, left, vs, q, qv in zip(*cols):
                 if key != (qblock, salt, q):
                     if key is not None:
                         yield flush()
                     key, qids = (qblock, salt, q), np.frombuffer(q, dtype=np.int64)
-                    qm = np.frombuffer(qv, dtype=np.float32).reshape(len(qids), d)
-                    table = np.ascontiguousarray(np.einsum("mkd,qd->mkq", books, qm, optimize=True))
-                    best_s, best_i = np.zeros((len(qids), 0), np.float32), np.zeros((len(qids), 0), np.int64)
+                    qm = expanded(qv, len(qids), d)
+                    table = np.ascontiguousarray(np.einsum("mkd,qd->mkq", books, qm.astype(np.float32), optimize=True))
+                    best = Best(len(qids), top)
                 ids, c = np.frombuffer(ids, dtype=np.int64), np.frombuffer(code, dtype=np.uint8).reshape(-1, m)
-                score = np.zeros((len(ids), len(qids)), dtype=np.float32)
-                for b in range(m):
-                    score += table[b][c[:, b]]
-                score *= np.frombuffer(fix, dtype=np.float32)[:, None]
-                score[ids[:, None] == qids[None, :]] = -np.inf
-                best_s = np.concatenate([best_s, score.T], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids, (len(qids), len(ids)))], axis=1)
-                if best_s.shape[1] > rerank:
-                    keep = np.argpartition(-best_s, rerank - 1, axis=1)[:, :rerank]
-                    best_s, best_i = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_i, keep, 1)
+                x, left = expanded(vs, len(ids), d), np.frombuffer(left, dtype=np.float64)
+                for i in range(0, len(qids), QUERY_SLICE):
+                    part = slice(i, i + QUERY_SLICE)
+                    at = np.arange(len(qids))[part]
+                    score = np.zeros((len(ids), len(at)), dtype=np.float32)
+                    for b in range(m):
+                        score += table[b][:, part][c[:, b]]
+                    score *= np.frombuffer(fix, dtype=np.float32)[:, None]
+                    rerank_block(best, at, qids[part], qm[part], ids, x, score, left, rerank)
         if key is not None:
             yield flush()
 
-    def merge(batches):
-        for batch in batches:
-            for q, ids, scores in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                i = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in ids])
-                s = np.concatenate([np.frombuffer(x, dtype=np.float32) for x in scores])
-                keep = np.argsort(-s, kind="stable")[:rerank]
-                keep = keep[np.isfinite(s[keep])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), q, np.int64)), pa.array(i[keep])], names=["query_id", "vec_id"])
-
-    lists = met.mapInArrow(scan, "query_id long, ids binary, scores binary").groupBy("query_id").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
-    found = lists.mapInArrow(merge, "query_id long, vec_id long")
-
-    def exact(batches):
-        for batch in batches:
-            if batch.num_rows:
-                s = (matrix(batch.column(2)) * matrix(batch.column(3))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    pairs = found.join(vectors.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    scored = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(exact, "query_id long, vec_id long, score double")
+    scored = met.mapInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

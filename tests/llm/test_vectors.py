@@ -54,3 +54,17 @@ def test_encoding_gets_close():
     greedy = ann.encode(x, books, beam=1)
     rough = x - sum(books[m][greedy[:, m]] for m in range(4))
     assert (error**2).mean() < 0.4 * (x**2).mean() and (error**2).mean() < (rough**2).mean()
+
+
+def test_coarse_codes_lose_no_neighbour(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 16))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    good = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    books = ann.fit(x[:400], books=2, words=16)
+    got = {}
+    for r in ann.search(good, good.where("vec_id % 200 = 0"), top=20, rerank=30, books=books).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows, range(0, 6000, 200), 20)
+    assert got == {q: [i for i, _ in found] for q, found in want.items()}
