@@ -152,9 +152,8 @@ def cascade_inputs(spark, sf):
     word = lambda i: F.element_at(F.split("p_name", " "), i)
     sub = p.where("p_partkey % 37 = 0").select(F.col("p_name").alias("form"), F.concat(F.lit("S"), F.lpad((F.col("p_partkey") % 40).cast("string"), 2, "0")).alias("code")).distinct()
     bra = p.where("p_partkey % 41 = 0").select(F.concat(F.lit("br "), "p_name").alias("form"), F.concat(F.lit("B"), F.substring("p_brand", -1, 1)).alias("code")).distinct()
-    b = p.where("p_partkey < 400")
     variants = F.array(F.col("p_name"), F.concat("p_name", F.lit(" sale")), F.concat(F.lit("br "), word(1), F.lit(" "), F.substring(word(2), 1, 2)), word(1), F.concat(F.lit("Br "), "p_name"), F.concat(word(1), F.lit("/"), word(2)))
-    return b.select(F.explode(variants).alias("name")), sub, bra
+    return p.select(F.explode(variants).alias("name")).distinct(), sub, bra
 
 
 @register("cascade_resolution", f"with {FORMS} select * from res")
