@@ -116,19 +116,27 @@ def containment(spark, sf):
     return iv.contained_first(m.where("agent = 'A'").select("enc", "id", "start", "end"), b, ["enc"], 24 * 3600000).select("enc", "id", "s_id")
 
 
+APART = ["enc", "field", "grp"]
+
+
+def apart(m):
+    """Mentions with ``grp``: mentions of one encounter and field in different groups cannot overlap."""
+    return iv.merge_groups(m, ["enc", "field"], "start", "end", ["id"])
+
+
 @register("longest_wins")
 def longest(spark, sf):
-    m = mentions(spark, sf).withColumn("day", F.floor(F.col("start") / 86400000)).withColumn("label", F.concat("agent", F.col("id").cast("string")))
-    return iv.longest_wins(m, ["enc", "day"])
+    m = apart(mentions(spark, sf).withColumn("label", F.concat("agent", F.col("id").cast("string"))))
+    # the day of the start is shown only; spans run over midnight
+    return iv.longest_wins(m, APART).select("enc", F.floor(F.col("start") / 86400000).alias("day"), "start", "end", "label")
 
 
 @register("gold_overlap_prf")
 def gold_prf(spark, sf):
     """Agent A as the gold standard for B: one-to-one greedy matches, then P, R and F1."""
-    m = mentions(spark, sf)
-    day = F.floor(F.col("start") / 86400000).alias("day")
-    g, f = (m.where(F.col("agent") == x).select("enc", day, "start", "end") for x in "AB")
-    hits = iv.greedy_matches(g, f, ["enc", "day"]).agg(F.count("found_start").alias("nh"), F.count("*").alias("nt"))
+    m = apart(mentions(spark, sf).where("agent in ('A', 'B')"))
+    g, f = (m.where(F.col("agent") == x).select(*APART, "start", "end") for x in "AB")
+    hits = iv.greedy_matches(g, f, APART).agg(F.count("found_start").alias("nh"), F.count("*").alias("nt"))
     from ..operators.evaluation import prf
 
     return prf(hits.crossJoin(f.agg(F.count("*").alias("np")))).select("np", "nt", "nh", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])  # one row each

@@ -1,5 +1,8 @@
 """Registered queries on small tables of their own."""
 
+import datetime as dt
+
+from siftwell.plans import alignment as ap
 from siftwell.plans import text as tp
 
 
@@ -15,3 +18,13 @@ def test_all_parts_give_names(spark, tmp_path):
     more = (410, "cold plate", "Brand#5", "T", 1)  # brand of a part beyond 400: 410 = 10 * 41
     spark.createDataFrame([*parts, more], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
     assert {(r.name, r.code) for r in tp.token_prefix(spark, str(tmp_path)).collect()} >= {("br cold pl", "B2"), ("br cold pl", "B5")}
+
+
+def test_spans_over_midnight_meet(spark, tmp_path):
+    at = lambda day, hour: dt.datetime(2024, 5, day, hour, tzinfo=dt.timezone.utc)
+    # value: tens of minutes; event_id % 3 is the agent (0 A, 1 B)
+    events = [(3, 1, at(1, 22), 30.0), (4, 1, at(2, 1), 12.0), (6, 1, at(2, 5), 6.0), (7, 1, at(2, 5), 6.0), (9, 2, at(1, 22), 30.0), (10, 2, at(2, 4), 12.0), (13, 3, at(2, 1), 12.0)]
+    spark.createDataFrame([(i, u, t, v, "{}") for i, u, t, v in events], "event_id long, user_id long, ts timestamp, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.label for r in ap.longest(spark, str(tmp_path)).collect()) == ["A3", "A6", "A9", "B10", "B13"]
+    r = ap.gold_prf(spark, str(tmp_path)).first()
+    assert (r.np, r.nt, r.nh) == (4, 3, 2)
