@@ -50,7 +50,7 @@ def op7_rans_token_files(spark, sf_dir):
 
 
 def op8_license_scan(spark, sf_dir):
-    return licenses.license_scan(_docs(spark, sf_dir))
+    return licenses.wrapped_scan(_docs(spark, sf_dir))
 
 
 def op9_compression_toxicity(spark, sf_dir):
