@@ -9,7 +9,7 @@ from ..operators import ranking as rk
 from . import views as v
 
 QUERIES, ORACLES = {}, {}
-K = 5
+K, ROUNDS = 5, 1000
 
 
 def register(name, oracle=None):
@@ -182,7 +182,7 @@ select s.level::int as level, any_value(mean) as mean, round(max(m) filter (j =
 @register("bootstrap_ci_hash", _RANKED + HIER.format(levels="(1), (3)") + ", src as (select level, enc, f val from per)" + _BOOT.format(src="src"))
 def bootstrap(spark, sf):
     s, _, r = ranked("frequency", spark, sf, k=5)
-    return ev.bootstrap(ev.hierarchical(proposal(s, r), rk.after(s), (1, 3)), ["level"], "f1", 100)
+    return ev.bootstrap(ev.hierarchical(proposal(s, r), rk.after(s), (1, 3)), ["level"], "f1", ROUNDS)
 
 
 @register("paired_diff_ci", f"with {v.base_sql(3)}, {v.scores_sql('frequency')}, {v.ranked_sql()}" + HIER.format(levels="(1), (3)") + """, p2 as (select distinct n, enc, substr(cls,1,n) c from bef, lev),
@@ -193,7 +193,7 @@ def paired(spark, sf):
     s, _, r = ranked("frequency", spark, sf, k=5)
     a = ev.hierarchical(proposal(s, r), rk.after(s), (1, 3)).select("level", "enc", "f1")
     b = ev.hierarchical(rk.before(s), rk.after(s), (1, 3)).select("level", "enc", F.col("f1").alias("other"))
-    return ev.bootstrap(a.join(b, ["level", "enc"]).withColumn("diff", F.col("f1") - F.col("other")), ["level"], "diff", 100)
+    return ev.bootstrap(a.join(b, ["level", "enc"]).withColumn("diff", F.col("f1") - F.col("other")), ["level"], "diff", ROUNDS)
 
 
 @register("explainability", f"with {v.base_sql(3)}, {v.scores_sql('frequency')}, {v.ranked_sql()}, fired as (select distinct enc, rule_id from rules r join cond on kind = 'cond' and starts_with(cond, tr) union select distinct enc, rule_id from rules r join bef on kind = 'therapy' and starts_with(cls, tr)), x as (select r.enc, r.cls, exists (select 1 from fired join rules using (rule_id) where fired.enc = r.enc and starts_with(r.cls, target)) e, exists (select 1 from aft where aft.enc = r.enc and aft.cls = r.cls) h from ranked r where rnk <= 5) select count(*) as n, count(*) filter (e) as explained, round(avg(e::int), 6) as share, round(avg(h::int) filter (e), 6) as hits_explained, round(avg(h::int) filter (not e), 6) as hits_other from x")

@@ -1,8 +1,12 @@
 """Registered queries on small tables of their own."""
 
 import datetime as dt
+import hashlib
+
+import pytest
 
 from siftwell.plans import alignment as ap
+from siftwell.plans import ranking as rp
 from siftwell.plans import text as tp
 
 
@@ -28,3 +32,19 @@ def test_spans_over_midnight_meet(spark, tmp_path):
     assert sorted(r.label for r in ap.longest(spark, str(tmp_path)).collect()) == ["A3", "A6", "A9", "B10", "B13"]
     r = ap.gold_prf(spark, str(tmp_path)).first()
     assert (r.np, r.nt, r.nh) == (4, 3, 2)
+
+
+def test_intervals_rest_on_1000_rounds(spark, monkeypatch):
+    rows = [(1, e, (e * e * 37 % 101) / 101) for e in range(40)]  # fine enough that 100 rounds give other bounds
+    monkeypatch.setattr(rp, "ranked", lambda *a, **b: (None, None, None))
+    monkeypatch.setattr(rp, "proposal", lambda *a: None)
+    monkeypatch.setattr(rp.rk, "after", lambda s: None)
+    monkeypatch.setattr(rp.rk, "before", lambda s: "before")
+    each = lambda p, t, levels: spark.createDataFrame([(n, e, 0.5 if p == "before" else x) for n, e, x in rows], "level int, enc int, f1 double")
+    monkeypatch.setattr(rp.ev, "hierarchical", each)
+    draw = lambda r, i: int(hashlib.sha256(f"20260916:{r}:{i}".encode()).hexdigest()[:8], 16) % len(rows)
+    means = sorted(sum(rows[draw(r, i)][2] for i in range(len(rows))) / len(rows) for r in range(1000))
+    want = [sum(x for _, _, x in rows) / len(rows), means[25], means[975]]
+    for query, off in ((rp.bootstrap, 0.0), (rp.paired, 0.5)):
+        got = query(spark, "").first()
+        assert [got.mean, got.low, got.high] == pytest.approx([x - off for x in want], abs=2e-6)
