@@ -20,11 +20,11 @@ by_value(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests) a local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir. Unset, it is an error on a cluster; a local master gets a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="siftwell-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -52,8 +52,6 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_siftwell_cache", {})
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that batches of texts stay small in JVM and worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts: one number, by which ranges and tasks are sized."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, parallelism, small_batches, written
+from .common import by_value, text_bytes, written
 from .tokens import text_slices, worker_encoder
 
 by_value(__name__)
 
 PRECISION, LOW, EVERY, LANES, SYMBOLS, END = 20, 1 << 31, 256, 1024, 1 << 19, 0
+#: Bytes of text in one range of documents, and the most ranges (their sums are held by the driver).
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
 MAGIC, HEADER = b"rANS1\n", "<QIIQIIII"
 NULL_ID = -(1 << 63)
 
@@ -150,53 +152,38 @@ def read_file(path: str) -> tuple[list[bytes], np.ndarray]:
     return [data[e - int(s) : e] for e, s in zip(ends.tolist(), sizes)], freq
 
 
-def range_bucket(docs: DataFrame, n: int):
-    """An expression that deals doc_id into about n ascending ranges of equal weight (nulls last)."""
-    marks = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    marks = sorted(set(marks or []))  # fewer than n numbers
-    steps = F.array(*[F.lit(m).cast("long") for m in marks]) if marks else F.array().cast("array<bigint>")
-    return F.when(F.col("doc_id").isNull(), F.lit(len(marks) + 1)).otherwise(F.size(F.filter(steps, lambda m: m < F.col("doc_id")))).cast("int")
-
-
-def tokenised(docs: DataFrame, tokenizer: str, blank_leads: bool = True, end: int = END) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, blank_leads: bool = True, end: int = END, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A written table (bucket, doc_id, before, n_tokens, ids): ids as little-endian uint32, each bucket ascending.
 
-    before: ids of the documents of the bucket that stand before it.
+    Buckets are ascending ranges of doc_id (nulls last) of about ``range_bytes`` of text; rows that
+    share an id may be parted. before: ids of the documents of the bucket that stand before it.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
+    names = ["bucket", "doc_id", "n_tokens", "ids", "before"]
 
     def run(batches):
+        from pyspark import TaskContext
+
         encoder = worker_encoder(tokenizer, shared.value, blank_leads)
+        bucket, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in text_slices(batch, 2):
-                ids, n = encoder.encode(part.column(2))
+            for part in text_slices(batch, 1):
+                ids, n = encoder.encode(part.column(1))
                 ids = np.insert(ids, np.cumsum(n), np.uint32(end))
                 n = n + 1
                 wide = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
                 raw, width, ends = ids.astype(wide).tobytes(), int(wide[-1]), np.cumsum(n)
                 cut = [raw[(e - k) * width : e * width] for e, k in zip(ends.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(cut, pa.binary())], names=["bucket", "doc_id", "n_tokens", "ids"])
-
-    def running(batches):
-        bucket, before = None, 0
-        for batch in batches:
-            b, n = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            at = []
-            for x, k in zip(b, n):
-                if x != bucket:
-                    bucket, before = x, 0
-                at.append(before)
-                before += k
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=["bucket", "doc_id", "n_tokens", "ids", "before"])
-
-    parts = parallelism(spark)
-    dealt = docs.select(range_bucket(docs, parts).alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "bucket int, doc_id long, n_tokens long, ids binary"
-    made = dealt.mapInArrow(run, schema).repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last())
-    return written(made.mapInArrow(running, schema + ", before long"), "token-ids")
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(n), pa.int32()), part.column(0), pa.array(n), pa.array(cut, pa.binary()), pa.array(before + ends - n)], names=names)
+                before += int(ends[-1]) if len(ends) else 0
+
+    parts = max(1, min(MOST_RANGES, -(-text_bytes(docs) // range_bytes)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("rid"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("rid")]
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return written(ranged.mapInArrow(run, "bucket int, doc_id long, n_tokens long, ids binary, before long"), "token-ids")
 
 
 def unpack(raw: bytes, n: int) -> np.ndarray:

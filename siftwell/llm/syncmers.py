@@ -1,10 +1,11 @@
 """Document fingerprints of closed syncmers.
 
 Of all k-mers of code points those are anchors whose least s-mer (by hash) is their first or
-last: a choice that no text around the k-mer can change. A fingerprint keeps the ``ANCHORS``
-anchors of least hash with the position of their first occurrence. Two fingerprints are
-compared over the least hashes of their union: shared anchors count as far as their positions
-ascend in both (the longest such chain), and the share is given as Dice's coefficient.
+last: a choice that no text around the k-mer can change. A fingerprint holds every anchor of the
+whole text (about one in twelve places), as its hash and the position of its first occurrence, in
+ascending order of the hashes. Two fingerprints are compared by the anchors they share, as far as
+their positions ascend in both (the longest such chain): the chain's length as Dice's coefficient,
+2 * chain / (anchors of one + anchors of the other).
 
 The query pairs each text with its edited text and with the next document. Documents are dealt
 into ranges of doc_id, so that neighbours meet in one task; each range also gets the next
@@ -19,6 +20,7 @@ last; the only row is its own next; an empty table gives an empty result; extra
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, parallelism
+from .common import by_value, text_bytes
 
 by_value(__name__)
 
-K, S, ANCHORS = 15, 5, 64
+K, S = 29, 6
+#: Bytes of text in one range of documents, and the most ranges (their first ids are held by the driver).
+RANGE_BYTES, MOST_RANGES = 16 << 20, 20_000
 _U = np.uint64
 _LAST = (1 << 63) - 1
 
@@ -42,7 +46,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text: ascending 32-bit hashes of its kept anchors, and their first positions."""
+    """For each text: ascending distinct 32-bit hashes of its anchors, and their first positions."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     begin = ends - sizes
@@ -77,12 +81,8 @@ def anchors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         for i in np.unique(doc).tolist():
             a, b = cuts[i], cuts[i + 1]
             mine, pos = h[a:b], at[a:b] - begin[i]
-            if b - a > 4 * ANCHORS:  # the least hashes come first
-                low = np.partition(mine, 4 * ANCHORS)[4 * ANCHORS]
-                if len(np.unique(mine[mine < low])) >= ANCHORS:
-                    mine, pos = mine[mine < low], pos[mine < low]
             hashes, first = np.unique(mine, return_index=True)
-            out[i] = (hashes[:ANCHORS], pos[first[:ANCHORS]])
+            out[i] = (hashes, pos[first])
     for i, (t, x) in enumerate(zip(texts, out)):
         if t and not len(x[0]):
             whole = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big")
@@ -109,12 +109,7 @@ def likeness(x, y) -> float:
         return 1.0
     if not len(hx) or not len(hy):
         return 0.0
-    union = np.union1d(hx, hy)[:ANCHORS]
-    common, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
-    keep = common <= union[-1]
-    if not keep.any():
-        return 0.0
-    i, j = i[keep], j[keep]
+    _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
     order = np.lexsort((py[j], px[i]))
     tails: list[int] = []
     for v in py[j][order].tolist():  # longest ascending chain of positions
@@ -123,8 +118,7 @@ def likeness(x, y) -> float:
             tails.append(v)
         else:
             tails[k] = v
-    share = len(tails) / len(union)
-    return 2 * share / (1 + share)
+    return 2 * len(tails) / (len(hx) + len(hy))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -171,27 +165,35 @@ def _rows(batches):
             )
 
 
-def fingerprints_with_neighbours(docs: DataFrame) -> DataFrame:
+def _place(key, marks: list[int]):
+    """How many of the ascending marks are less than key, by two levels of steps."""
+    if not marks:
+        return F.lit(0)
+    step = math.isqrt(len(marks)) + 1
+    blocks = [marks[i : i + step] for i in range(0, len(marks), step)]
+    below = lambda xs: F.size(F.filter(xs, lambda m: m < key))
+    # blocks whose last mark is less than key count whole
+    whole = below(F.array(*[F.lit(b[-1]).cast("long") for b in blocks]))
+    inside = F.element_at(F.array(*[F.array(*[F.lit(m).cast("long") for m in b]) for b in blocks]), F.least(whole + 1, F.lit(len(blocks))))
+    return (F.when(whole == len(blocks), F.lit(len(marks))).otherwise(whole * step + below(inside))).cast("int")
+
+
+def fingerprints_with_neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The fingerprints of texts, of edited texts, and their likenesses; one row per input row."""
-    spark = docs.sparkSession
-    parts = parallelism(spark)
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).cast("long").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marks = rows.select(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0]
-    marks = sorted(set(marks or []))  # fewer numbers than partitions
-    steps = F.array(*[F.lit(m).cast("long") for m in marks]) if marks else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(steps, lambda m: m < F.col("key"))).cast("int")
-    rows = rows.withColumn("bucket", bucket)
+    parts = max(1, min(MOST_RANGES, -(-text_bytes(docs) // range_bytes)))
+    marks = rows.select(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).first()[0] if parts > 1 else None
+    marks = sorted(set(marks or []))  # fewer numbers than ranges
+    rows = rows.withColumn("bucket", _place(F.col("key"), marks))
     firsts = [(r.bucket, r.key) for r in rows.groupBy("bucket").agg(F.min("key").alias("key")).orderBy("bucket").collect()]
     if not firsts:
         return rows.select("doc_id").mapInArrow(lambda batches: iter(()), _schema(docs))
     # the first row of each range stands again at the end of the range before it
-    target = F.lit(None).cast("int")
-    for i, (_, key) in enumerate(firsts):
-        target = F.when(F.col("key") == key, firsts[i - 1][0]).otherwise(target)
-    keys = [k for _, k in firsts]
-    guests = rows.where(F.col("key").isin(keys)).groupBy("key", "doc_id").agg(F.min("text").alias("text")).withColumn("bucket", target)
+    spark = docs.sparkSession
+    before = spark.createDataFrame([(key, firsts[i - 1][0]) for i, (_, key) in enumerate(firsts)], "key long, bucket int")
+    guests = rows.drop("bucket").join(F.broadcast(before), "key").groupBy("key", "doc_id", "bucket").agg(F.min("text").alias("text"))
     every = rows.select("bucket", "key", "doc_id", "text", F.lit(False).alias("guest")).union(guests.select("bucket", "key", "doc_id", "text", F.lit(True)))
-    dealt = every.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "key", "text")
+    dealt = every.repartitionById(len(marks) + 1, F.col("bucket")).sortWithinPartitions("bucket", "guest", "key", "text")
     return dealt.select("bucket", "doc_id", "text", "guest").mapInArrow(_rows, _schema(docs))
 
 

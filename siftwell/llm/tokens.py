@@ -1,15 +1,23 @@
 """Bulk encoding with a public tokenizer file of the tokenizers library.
 
-Gibberish apart, most of a text's words recur. Texts are cut before blanks and at the ends of
-runs of letters, where neither tokenizer family ever joins tokens, the pieces of a slice are
-made distinct by Arrow, and only pieces that the worker has not seen lately go to the tokenizer:
-words of letters straight to its model, others through all of its steps. A byte-level text in which a blank is followed by white space is encoded whole instead, as
-white-space runs join there.
+The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` on the whole text.
+Most of a text's words recur, so texts are cut into pieces first, the pieces of a slice are made
+distinct by Arrow, and only pieces that the worker has not seen lately go to the tokenizer. Cuts
+stand only where the library's own pre-tokenizers always end a piece, whatever is around:
+
+* before white space that follows something else: no piece of either family holds white space
+  after another character, and a run of white space stays whole, so its lookahead sees the same;
+* between a letter and a punctuation mark: a run of letters ends there;
+* between a punctuation mark other than the apostrophe and a letter (an apostrophe may begin a
+  contraction).
+
+Letters count here only up to U+024F (without U+0130, whose lower case ends in a mark) and marks of punctuation only in ASCII, where Unicode
+versions agree and nothing combines with what stands before it. Texts that hold the string of a
+special token, which the library finds before any cutting, are encoded whole.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from array import array
 
 import numpy as np
@@ -23,7 +31,9 @@ by_value(__name__)
 CACHE, LONGEST = 400_000, 64
 #: Stands between pieces of a text; texts that hold one are encoded whole.
 CUT = "\x01"
-_BLANK_RUN = r" [\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LETTER = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
+_MARK = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation without the apostrophe
+_SPACES = r"\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
 
 
 def byte_characters() -> list[str]:
@@ -37,29 +47,27 @@ def byte_characters() -> list[str]:
 class Encoder:
     def __init__(self, definition: str, blank_leads: bool):
         """definition: the tokenizer file's text. blank_leads: a word's token holds the blank before it."""
+        import json
         import os
+        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.blank_leads, self.known, self.older = blank_leads, {}, {}
         self.table = byte_characters()
+        self.odd = "|".join(re.escape(x) for x in [CUT, *(t["content"] for t in json.loads(definition)["added_tokens"])])
+        self.word = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype=np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters straight from the model: such a word is one piece to both
-        families' rules, so only its normal form and its bytes' characters are left to make."""
+        families' rules and its own normal form, so only case and its bytes' characters are left."""
         model, table, lower = self.tokenizer.model.tokenize, self.table, not self.blank_leads
-        out = []
-        for w in words:
-            if lower:
-                w = (w if w.isascii() else unicodedata.normalize("NFC", w)).lower()
-            out.append(array("I", [t.id for t in model("".join([table[b] for b in w.encode()]))]).tobytes())
-        return out
+        return [array("I", [t.id for t in model("".join([table[b] for b in (w.lower() if lower else w).encode()]))]).tobytes() for w in words]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, by two generations of remembered ones: what is used again stays."""
@@ -75,12 +83,9 @@ class Encoder:
                     out[i] = known[pieces[i]] = x
         plain, other = [], []
         for i in missing:
-            w = pieces[i][1:] if self.blank_leads and pieces[i][:1] == " " else pieces[i].strip(" ")
-            # a capital sigma's lower case hangs on its place, and some lower cases are not one
-            # run of letters: the normaliser's business
-            easy = w.isalpha() and (self.blank_leads or w.isascii() or "\u03a3" not in w and unicodedata.normalize("NFC", w).lower().isalpha())
-            (plain if easy else other).append(i)
-        for which, made in ((plain, self._words([pieces[i] if self.blank_leads else pieces[i].strip(" ") for i in plain])), (other, self._raw([pieces[i] for i in other]))):
+            w = pieces[i][1:] if pieces[i][:1] == " " else pieces[i]
+            (plain if self.word(w) else other).append(i)
+        for which, made in ((plain, self._words([pieces[i] if self.blank_leads else pieces[i].lstrip(" ") for i in plain])), (other, self._raw([pieces[i] for i in other]))):
             for i, raw in zip(which, made):
                 out[i] = raw
                 if len(pieces[i]) <= LONGEST:
@@ -95,13 +100,11 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        odd = CUT + (f"|{_BLANK_RUN}" if self.blank_leads else "")
-        whole = pc.match_substring_regex(texts, odd).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         apart = texts if not whole.any() else pc.if_else(pa.array(whole), "", texts)
-        # a cut before each blank, and at both ends of a run of letters and marks (not after an apostrophe)
-        apart = pc.replace_substring(apart, " ", CUT + " ")
-        apart = pc.replace_substring_regex(apart, r"([\pL\pM])([^\pL\pM \x01])", r"\1" + CUT + r"\2")
-        apart = pc.replace_substring_regex(apart, r"([^\pL\pM \x01'])([\pL\pM])", r"\1" + CUT + r"\2")
+        apart = pc.replace_substring_regex(apart, rf"([^{_SPACES}])([ \n\r\t])", r"\1" + CUT + r"\2")
+        apart = pc.replace_substring_regex(apart, rf"([{_LETTER}])([{_MARK}'])", r"\1" + CUT + r"\2")
+        apart = pc.replace_substring_regex(apart, rf"([{_MARK}])([{_LETTER}])", r"\1" + CUT + r"\2")
         cut = pc.split_pattern(apart, CUT)
         flat = cut.flatten().dictionary_encode()
         code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
