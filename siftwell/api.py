@@ -50,12 +50,14 @@ def propose(spark: SparkSession, mentions: DataFrame, allergies: DataFrame, cand
     cond = f.where("kind = 'condition'").select("enc", F.col("code").alias("cond")).distinct()
     now = f.where("kind = 'drug' and moment != 'discharge'").select("enc", F.substring("code", 1, unit).alias("cls")).distinct()
     sides = now.withColumn("adm", F.lit(True)).select("enc", "adm", "cls")
-    grid = mentions.select("enc").distinct().crossJoin(F.broadcast(candidates.select("cls").distinct()))  # the class vocabulary
-    ind = rules_data.indications(spark)
-    scored = ranking.by_rules(grid, ind, cond, sides)
-    reasons = rules.all_reasons(grid, allergies, now, cond, rules_data.contraindications(spark), group=unit)
-    judged = rules.verdicts(grid, reasons)
-    ranked = ranking.ordered(rules.admissible(scored, judged), now).where(F.col("rank") <= n)
+    cases = mentions.select("enc").distinct().withColumn("fold", F.lit(0))  # one order of candidates for all
+    cands = candidates.select(F.lit(0).alias("fold"), "cls").distinct()
+    own = ranking.by_rules_of_fold(cands, cases, rules_data.indications(spark), cond, sides)
+    # what no rule fires on stands in code order; a forbidden candidate makes room for the next one
+    reasons = rules.candidate_reasons(cands.select("cls"), allergies, now, cond, rules_data.contraindications(spark), group=unit)
+    barred = reasons.where(F.col("verdict") == rules.FORBIDDEN).select("enc", "cls").distinct()
+    ranked = ranking.first_k(ranking.placed(ranking.constant(cands)), cases, now.union(barred).distinct(), n, own)
+    judged = rules.verdicts(ranked.select("enc", "cls"), reasons.join(ranked.select("enc", "cls"), ["enc", "cls"], "left_semi"))
     return rules.class_warnings(ranked.join(judged, ["enc", "cls"]), allergies)
 
 

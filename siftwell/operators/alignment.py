@@ -59,3 +59,17 @@ def reclassified(mentions: DataFrame, drug_codes: DataFrame) -> DataFrame:
     known = drug_codes.select(F.col("code")).distinct().withColumn("_drug", F.lit(True))
     j = mentions.join(known, "code", "left").withColumn("moved", (F.col("kind") == "condition") & F.coalesce("_drug", F.lit(False)))
     return j.withColumn("kind", F.when(F.col("moved"), "drug").otherwise(F.col("kind"))).drop("_drug")
+
+
+def agents_of(mentions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, agents): the sorted letters of the agents behind each key."""
+    return mentions.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("agent")), "").alias("agents"))
+
+
+def filter_state(mentions: DataFrame) -> DataFrame:
+    """(enc, kind, code, agents): affirmed conditions of the patient with the agents that give them,
+    and as therapy every affirmed coded drug of any moment (agents '')."""
+    m = mentions.where("code is not null and state = 'affirmed'")
+    cond = agents_of(m.where("kind = 'condition' and subject = 'patient'"), ["enc", "code"])
+    drug = m.where("kind = 'drug'").select("enc", F.lit("therapy").alias("kind"), "code", F.lit("").alias("agents")).distinct()
+    return cond.select("enc", F.lit("condition").alias("kind"), "code", "agents").union(drug)

@@ -39,40 +39,68 @@ def candidates(sides: DataFrame, folds: DataFrame, least: int = 3) -> DataFrame:
     return out_of_fold(after(sides), folds, ["cls"]).where(F.col("n") >= least).select("fold", "cls")
 
 
-def pairs(folds: DataFrame, cands: DataFrame, encs: DataFrame) -> DataFrame:
-    """Every encounter with its fold's candidates (broadcast: folds times the class vocabulary)."""
-    return encs.select("enc").join(folds, "enc").join(F.broadcast(cands), "fold")
+def frequencies(sides: DataFrame, folds: DataFrame, cands: DataFrame) -> DataFrame:
+    """(fold, cls, score): additions outside the fold, 0 for a candidate without any."""
+    n = out_of_fold(added(sides), folds, ["cls"])
+    return cands.join(n, ["fold", "cls"], "left").select("fold", "cls", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("score"))
 
 
-def by_continuity(grid: DataFrame, sides: DataFrame) -> DataFrame:
-    now = before(sides).withColumn("hit", F.lit(1))
-    return grid.join(now, ["enc", "cls"], "left").select("enc", "cls", F.coalesce(F.col("hit"), F.lit(0)).cast("double").alias("score"))
+def constant(cands: DataFrame) -> DataFrame:
+    """Every candidate scores 0: the order is that of the codes."""
+    return cands.select("fold", "cls", F.lit(0.0).alias("score"))
 
 
-def by_frequency(grid: DataFrame, sides: DataFrame, folds: DataFrame) -> DataFrame:
-    n = out_of_fold(added(sides), folds, ["cls"])
-    return grid.join(F.broadcast(n), ["fold", "cls"], "left").select("enc", "cls", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("score"))
+def placed(scores: DataFrame) -> DataFrame:
+    """(fold, cls, score, place): one order for all encounters of a fold, by score (to nine places), then class."""
+    w = Window.partitionBy("fold").orderBy(F.desc(F.round("score", 9)), "cls")
+    return scores.select("fold", "cls", "score", F.row_number().over(w).alias("place"))
 
 
-def frequency_top(sides: DataFrame, folds: DataFrame, cands: DataFrame, k: int) -> DataFrame:
-    """The first k of the frequency order without current classes: (enc, cls, score, rank).
+def first_k(order: DataFrame, folds: DataFrame, current: DataFrame, k: int, own: DataFrame | None = None) -> DataFrame:
+    """The first k proposals of each encounter without its current classes: (enc, cls, score, rank).
 
-    All encounters of a fold share one order, so an encounter with m current classes only needs
-    its fold's first k + m; the product of encounters and candidates is never made.
+    order: as from ``placed``; own: (enc, cls, score) of the candidates that score otherwise for an
+    encounter than in its fold's order. With m current classes and a scores of its own, an encounter
+    needs the first k + m + a places of its fold at most, so places meet by an equi-join on
+    (fold, place) and the product of encounters and candidates is never made.
     """
-    n = out_of_fold(added(sides), folds, ["cls"])
-    order = cands.join(n, ["fold", "cls"], "left").select("fold", "cls", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("score"))
-    order = order.withColumn("place", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("score"), "cls")))
-    need = folds.join(before(sides).groupBy("enc").agg(F.count("*").alias("m")), "enc", "left").select("enc", "fold", (F.coalesce("m", F.lit(0)) + k).alias("need"))
-    near = need.join(F.broadcast(order), "fold").where("place <= need")  # folds times the class vocabulary
-    kept = near.select("enc", "cls", "score", "place").join(before(sides), ["enc", "cls"], "left_anti")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("enc").orderBy("place"))).where(F.col("rank") <= k).drop("place")
+    skip = current.select("enc", "cls")
+    if own is not None:
+        skip = skip.union(own.select("enc", "cls"))
+    counts = skip.groupBy("enc").agg(F.count("*").alias("m"))
+    need = folds.join(counts, "enc", "left").select("enc", "fold", F.explode(F.sequence(F.lit(1), (F.coalesce("m", F.lit(0)) + k).cast("int"))).alias("place"))
+    left = need.join(order, ["fold", "place"]).select("enc", "cls", "score").join(skip, ["enc", "cls"], "left_anti")
+    if own is not None:
+        left = left.union(own.select("enc", "cls", "score").join(current, ["enc", "cls"], "left_anti"))
+    return ordered(left).where(F.col("rank") <= k)
+
+
+def ranks_of(targets: DataFrame, order: DataFrame, folds: DataFrame, current: DataFrame) -> DataFrame:
+    """(enc, cls, rank) of targets among the candidates that are no current classes.
+
+    A target's rank is its place in the fold's order less the current classes placed before it, so
+    only targets and current classes are ranked, not the candidates.
+    """
+    both = targets.select("enc", "cls", F.lit(0).alias("now")).union(current.select("enc", "cls", F.lit(1)))
+    both = both.groupBy("enc", "cls").agg(F.max("now").alias("now")).join(folds, "enc").join(order.select("fold", "cls", "place"), ["fold", "cls"])
+    ahead = F.sum("now").over(Window.partitionBy("enc").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("rank", (F.col("place") - ahead).cast("int")).where("now = 0").select("enc", "cls", "rank")
+
 
+def first_k_by_hash(cands: DataFrame, folds: DataFrame, current: DataFrame, k: int, seed: str = "20260915") -> DataFrame:
+    """The random control: an order per encounter that only a hash knows; its first k without current classes.
 
-def by_hash(grid: DataFrame, seed: str = "20260915") -> DataFrame:
-    """The random control: an order per encounter that only a hash knows."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("enc").cast("string"), F.col("cls")), 256), 1, 8), 16, 10)
-    return grid.select("enc", "cls", h.cast("double").alias("score"))
+    Every candidate must be hashed for every encounter, but inside the encounter's row: its fold's
+    classes are one array (the class vocabulary), and only k of them leave the row.
+    """
+    lists = cands.groupBy("fold").agg(F.array_sort(F.collect_list("cls")).alias("all"))
+    now = current.groupBy("enc").agg(F.collect_set("cls").alias("now"))
+    h = lambda c: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("enc").cast("string"), c), 256), 1, 8), 16, 10).cast("double")
+    rows = folds.join(lists, "fold").join(now, "enc", "left")
+    free = F.array_except("all", F.coalesce("now", F.array().cast("array<string>")))
+    best = F.slice(F.array_sort(F.transform(free, lambda c: F.struct((-h(c)).alias("s"), c.alias("cls")))), 1, k)
+    top = rows.select("enc", F.posexplode(best).alias("pos", "x"))
+    return top.select("enc", "x.cls", (-F.col("x.s")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def matches(rules: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
@@ -84,16 +112,33 @@ def matches(rules: DataFrame, facts: DataFrame, fact: str) -> DataFrame:
     return cut.join(rules.select("rule_id", "trigger"), "trigger").select("enc", "rule_id").distinct()
 
 
-def by_rules(grid: DataFrame, rules: DataFrame, conditions: DataFrame, sides: DataFrame) -> DataFrame:
-    """Highest weight of the fired indications plus 0.01 for each further one; 0 without any.
+def prefix_rows(df: DataFrame, value: str, name: str) -> DataFrame:
+    """A row per prefix of a code, so that prefix rules meet by an equi-join."""
+    return df.withColumn(name, F.explode(F.transform(F.sequence(F.lit(1), F.length(value)), lambda n: F.col(value).substr(F.lit(1), n))))
 
-    rules: (rule_id, target, weight, kind 'cond' or 'therapy', trigger).
-    """
+
+def fired_rules(rules: DataFrame, conditions: DataFrame, sides: DataFrame) -> DataFrame:
+    """(enc, rule_id, target, weight) of the indications that an encounter's facts trigger."""
     fired = matches(rules.where("kind = 'cond'"), conditions, "cond").union(matches(rules.where("kind = 'therapy'"), before(sides), "cls")).distinct()
-    hits = fired.join(F.broadcast(rules.select("rule_id", "target", "weight").distinct()), "rule_id")  # a fixed rule table
-    prefix = grid.select("enc", "cls", F.explode(F.transform(F.sequence(F.lit(1), F.length("cls")), lambda n: F.col("cls").substr(F.lit(1), n))).alias("target"))
-    scores = prefix.join(hits, ["enc", "target"]).groupBy("enc", "cls").agg((F.max("weight") + 0.01 * (F.count("*") - 1)).alias("score"))
-    return grid.join(scores, ["enc", "cls"], "left").select("enc", "cls", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return fired.join(F.broadcast(rules.select("rule_id", "target", "weight").distinct()), "rule_id")  # a fixed rule table
+
+
+def by_rules(cands: DataFrame, rules: DataFrame, conditions: DataFrame, sides: DataFrame) -> DataFrame:
+    """(enc, cls, score) of the candidates that a fired indication targets; all others score 0.
+
+    Highest weight of the fired indications plus 0.01 for each further one. rules: (rule_id, target,
+    weight, kind 'cond' or 'therapy', trigger).
+    """
+    hits = fired_rules(rules, conditions, sides)
+    scored = prefix_rows(cands, "cls", "target").join(hits, ["enc", "target"])
+    return scored.groupBy("enc", "cls").agg((F.max("weight") + 0.01 * (F.count("*") - 1)).alias("score"))
+
+
+def by_rules_of_fold(cands: DataFrame, folds: DataFrame, rules: DataFrame, conditions: DataFrame, sides: DataFrame) -> DataFrame:
+    """As ``by_rules`` over the candidates (fold, cls) of each encounter's fold."""
+    hits = fired_rules(rules, conditions, sides).join(folds, "enc")
+    scored = hits.join(prefix_rows(cands.select("fold", "cls"), "cls", "target"), ["fold", "target"])
+    return scored.groupBy("enc", "cls").agg((F.max("weight") + 0.01 * (F.count("*") - 1)).alias("score"))
 
 
 def features(conditions: DataFrame, sides: DataFrame) -> DataFrame:
@@ -114,15 +159,27 @@ def pmi(conditions: DataFrame, sides: DataFrame, folds: DataFrame, joint: int =
     return full.select("fold", "feat", "cls", value.alias("pmi"))
 
 
-def by_hybrid(grid: DataFrame, rules: DataFrame, conditions: DataFrame, sides: DataFrame, folds: DataFrame, rule_weight: float = 0.5) -> DataFrame:
-    """Log base rate plus the best PMI (which may be negative; 0 without any) plus weighted rules."""
-    n = out_of_fold(folds.select("enc"), folds, []).withColumnRenamed("n", "total")
-    base = grid.join(F.broadcast(out_of_fold(added(sides), folds, ["cls"])), ["fold", "cls"], "left").join(F.broadcast(n), "fold")
-    base = base.select("enc", "cls", F.log(F.coalesce(F.col("n").cast("double"), F.lit(0.5)) / F.col("total").cast("double")).alias("base"))
+def base_rates(sides: DataFrame, folds: DataFrame, cands: DataFrame) -> DataFrame:
+    """(fold, cls, score): the log base rate of an addition outside the fold; half an addition for a candidate without any."""
+    total = out_of_fold(folds.select("enc"), folds, []).withColumnRenamed("n", "total")
+    n = cands.join(out_of_fold(added(sides), folds, ["cls"]), ["fold", "cls"], "left").join(total, "fold")
+    return n.select("fold", "cls", F.log(F.coalesce(F.col("n").cast("double"), F.lit(0.5)) / F.col("total").cast("double")).alias("score"))
+
+
+def hybrid_parts(base: DataFrame, rules: DataFrame, conditions: DataFrame, sides: DataFrame, folds: DataFrame) -> DataFrame:
+    """(enc, cls, base, pmi, rules) of candidates with a feature or a fired rule; all others score their base rate.
+
+    pmi: the best one, which may be negative, 0 without any.
+    """
     best = features(conditions, sides).join(folds, "enc").join(pmi(conditions, sides, folds), ["fold", "feat"]).groupBy("enc", "cls").agg(F.max("pmi").alias("pmi"))
-    symbolic = by_rules(grid, rules, conditions, sides).withColumnRenamed("score", "rules")
-    full = base.join(best, ["enc", "cls"], "left").join(symbolic, ["enc", "cls"])
-    return full.select("enc", "cls", (F.col("base") + F.coalesce("pmi", F.lit(0.0)) + rule_weight * F.col("rules")).alias("score"))
+    symbolic = by_rules_of_fold(base, folds, rules, conditions, sides).withColumnRenamed("score", "rules")
+    both = best.join(symbolic, ["enc", "cls"], "full").join(folds, "enc").join(base.withColumnRenamed("score", "base"), ["fold", "cls"])
+    return both.select("enc", "cls", "base", F.coalesce("pmi", F.lit(0.0)).alias("pmi"), F.coalesce("rules", F.lit(0.0)).alias("rules"))
+
+
+def by_hybrid(parts: DataFrame, rule_weight: float = 0.5) -> DataFrame:
+    """Log base rate plus the best PMI plus weighted rules, of the candidates in ``hybrid_parts``."""
+    return parts.select("enc", "cls", (F.col("base") + F.col("pmi") + rule_weight * F.col("rules")).alias("score"))
 
 
 def ordered(scores: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
@@ -133,12 +190,24 @@ def ordered(scores: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     return scores.withColumn("rank", rank)
 
 
-def replayed(answers: DataFrame, grid: DataFrame) -> DataFrame:
-    """A stored answer list as an order: (enc, answer array) -> rank; classes are trimmed to the
-    unit and upper-cased, those off the list dropped, repeats keep their first place, and what
-    was not named follows in code order."""
-    unit = grid.agg(F.max(F.length("cls"))).first()[0] or 0  # one number
+def replayed(answers: DataFrame, order: DataFrame, folds: DataFrame, k: int) -> DataFrame:
+    """The first k of a stored answer list: (enc, answer array) -> (enc, cls, rank); classes are
+    trimmed to the unit and upper-cased, those off the list dropped (``off_list`` counts them), repeats
+    keep their first place, and what was not named follows in code order."""
+    first = named_classes(answers, order).join(folds, "enc").join(order.select("fold", "cls"), ["fold", "cls"], "left_semi")
+    own = first.select("enc", "cls", (F.lit(1.0) + 1.0 / (F.col("pos") + 1)).alias("score"))
+    none = folds.select("enc", F.lit("").alias("cls")).limit(0)
+    return first_k(order, folds, none, k, own).select("enc", "cls", "rank")
+
+
+def named_classes(answers: DataFrame, order: DataFrame) -> DataFrame:
+    """(enc, cls, pos): the classes an answer names, each at its first place."""
+    unit = order.agg(F.max(F.length("cls"))).first()[0] or 0  # one number
     named = answers.select("enc", F.posexplode("answer").alias("pos", "cls")).select("enc", "pos", F.upper(F.substring(F.trim("cls"), 1, unit)).alias("cls"))
-    first = named.groupBy("enc", "cls").agg(F.min("pos").alias("pos"))
-    rank = F.row_number().over(Window.partitionBy("enc").orderBy(F.col("pos").asc_nulls_last(), "cls"))
-    return grid.select("enc", "cls").join(first, ["enc", "cls"], "left").withColumn("rank", rank)
+    return named.groupBy("enc", "cls").agg(F.min("pos").alias("pos"))
+
+
+def off_list(answers: DataFrame, order: DataFrame, folds: DataFrame) -> DataFrame:
+    """(enc, n): named classes that are no candidates."""
+    named = named_classes(answers, order).join(folds, "enc")
+    return named.join(order.select("fold", "cls"), ["fold", "cls"], "left_anti").groupBy("enc").agg(F.count("*").alias("n"))

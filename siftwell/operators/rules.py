@@ -35,11 +35,20 @@ def allergy_reasons(drugs: DataFrame, allergies: DataFrame, group: int = GROUP)
     return exact.union(near.select("enc", "cls", F.lit("allergy_group"), F.lit(VERIFY)))
 
 
-def duplicate_reasons(drugs: DataFrame, therapy: DataFrame, group: int = GROUP) -> DataFrame:
-    """Another therapy of the same group (the drug itself does not count): to verify."""
-    t = therapy.select("enc", "cls").distinct().withColumn("g", F.substring("cls", 1, group)).withColumnRenamed("cls", "other")
-    d = drugs.withColumn("g", F.substring("cls", 1, group)).join(t, ["enc", "g"]).where("other != cls")
-    return d.select("enc", "cls", F.lit("duplicate_group").alias("reason"), F.lit(VERIFY).alias("verdict")).distinct()
+def duplicate_reasons(drugs: DataFrame, therapy: DataFrame, group: int = GROUP, itself: bool = True) -> DataFrame:
+    """Therapy of the same substance, else of the same group: to verify.
+
+    itself: the judged drug stands in the therapy on its own account, so it is no duplicate of itself.
+    """
+    t = therapy.select("enc", "cls").distinct()
+    same = drugs.select("enc", "cls").join(t, ["enc", "cls"], "left_semi").distinct()
+    g = F.when(F.length("cls") >= group, F.substring("cls", 1, group))
+    others = t.withColumn("g", g).withColumnRenamed("cls", "other")
+    d = drugs.withColumn("g", F.substring("cls", 1, group)).join(others, ["enc", "g"]).where("other != cls").select("enc", "cls").distinct()
+    if not itself:
+        d = d.join(same, ["enc", "cls"], "left_anti")
+    near = d.select("enc", "cls", F.lit("duplicate_group").alias("reason"), F.lit(VERIFY).alias("verdict"))
+    return near if itself else near.union(same.select("enc", "cls", F.lit("duplicate_substance"), F.lit(VERIFY)))
 
 
 def contra_reasons(drugs: DataFrame, conditions: DataFrame, contra: DataFrame, agents: DataFrame | None = None) -> DataFrame:
@@ -53,17 +62,34 @@ def contra_reasons(drugs: DataFrame, conditions: DataFrame, contra: DataFrame, a
         facts = facts.join(agents.select("enc", "cond", "only_a"), ["enc", "cond"], "left")
     else:
         facts = facts.withColumn("only_a", F.lit(False))
-    fired = facts.join(F.broadcast(contra), "trigger").groupBy("enc", "rule_id", "target", "verdict", "revoked", "missing").agg(F.min(F.coalesce("only_a", F.lit(False))).alias("only_a"))
+    fired = facts.join(F.broadcast(contra), "trigger").groupBy("enc", "rule_id", "target", "verdict", "revoked", "missing").agg(F.min(F.coalesce("only_a", F.lit(False))).alias("only_a"), F.max(F.coalesce("only_a", F.lit(False))).alias("any_a"))
     revoking = conditions.select("enc", F.explode(prefixes("cond")).alias("revoked")).distinct()
     live = fired.join(revoking, ["enc", "revoked"], "left_anti")
     targets = drugs.select("enc", "cls", F.explode(prefixes("cls")).alias("target"))
     hits = targets.join(live, ["enc", "target"])
     weak = (F.col("missing").isNotNull() | F.col("only_a")) & (F.col("verdict") == FORBIDDEN)
-    return hits.select("enc", "cls", F.concat(F.lit("contra_"), F.col("rule_id").cast("string")).alias("reason"), F.when(weak, VERIFY).otherwise(F.col("verdict")).alias("verdict"))
+    named = hits.select("enc", "cls", F.concat(F.lit("contra_"), F.col("rule_id").cast("string")).alias("reason"), F.when(weak, VERIFY).otherwise(F.col("verdict")).alias("verdict"))
+    if agents is None:
+        return named
+    # a prohibition that rests on the dictionary alone says so in a row of its own
+    return named.union(hits.where(F.col("any_a") & (F.col("verdict") == FORBIDDEN)).select("enc", "cls", F.lit("weak_provenance"), F.lit(VERIFY)).distinct())
+
 
+def all_reasons(drugs, allergies, therapy, conditions, contra, agents=None, group: int = GROUP, itself: bool = True) -> DataFrame:
+    return allergy_reasons(drugs, allergies, group).union(duplicate_reasons(drugs, therapy, group, itself)).union(contra_reasons(drugs, conditions, contra, agents))
 
-def all_reasons(drugs, allergies, therapy, conditions, contra, agents=None, group: int = GROUP) -> DataFrame:
-    return allergy_reasons(drugs, allergies, group).union(duplicate_reasons(drugs, therapy, group)).union(contra_reasons(drugs, conditions, contra, agents))
+
+def candidate_reasons(classes: DataFrame, allergies: DataFrame, therapy: DataFrame, conditions: DataFrame, contra: DataFrame, agents: DataFrame | None = None, group: int = GROUP) -> DataFrame:
+    """``all_reasons`` over every encounter's candidates (classes(cls), the same for all), without their product.
+
+    Only candidates that share a group with an allergy or a therapy, or stand below the target of a
+    contraindication whose trigger holds, can have a reason; those pairs come from equi-joins.
+    """
+    named = classes.select("cls").distinct().withColumn("g", F.substring("cls", 1, group))
+    near = allergies.select("enc", "cls").union(therapy.select("enc", "cls")).select("enc", F.substring("cls", 1, group).alias("g")).distinct().join(named, "g").select("enc", "cls")
+    fired = conditions.select("enc", F.explode(prefixes("cond")).alias("trigger")).join(F.broadcast(contra.select("trigger", "target")), "trigger").select("enc", "target").distinct()
+    below = named.select("cls", F.explode(prefixes("cls")).alias("target")).join(fired, "target").select("enc", "cls")
+    return all_reasons(near.union(below).distinct(), allergies, therapy, conditions, contra, agents, group, itself=False)
 
 
 def verdicts(drugs: DataFrame, reasons: DataFrame) -> DataFrame:

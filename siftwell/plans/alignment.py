@@ -9,6 +9,7 @@ from ..operators import graph as gr
 from ..operators import intervals as iv
 from ..operators import ranking as rk
 from ..operators import rules as ru
+from ..store import written
 from . import views as v
 
 QUERIES, ORACLES = {}, {}
@@ -172,7 +173,7 @@ def only_a(spark, sf):
 
 def agents_per_code(spark, sf):
     m = mentions(spark, sf).where("code is not null")
-    return m.groupBy("enc", "code").agg(F.countDistinct("agent").alias("n_agents"), F.min(F.col("agent") == "A").alias("only_a"))
+    return al.agents_of(m, ["enc", "code"]).select("enc", "code", F.length("agents").alias("n_agents"), (F.col("agents") == "A").alias("only_a"))
 
 
 @register("state_subject_matrix", f"with {A} select state, subject, count(*) as n from asr group by 1, 2")
@@ -276,7 +277,7 @@ def allergies(spark, sf, s):
 
 
 def safety(spark, sf):
-    s = v.sides(spark, sf).cache()
+    s = written(v.sides(spark, sf), "sides")
     drugs, a = rk.after(s).distinct(), allergies(spark, sf, s)
     return s, drugs, a, ru.all_reasons(drugs, a, rk.before(s), v.conditions(spark, sf), v.contra(spark), group=1)
 
@@ -319,27 +320,48 @@ def duplicate_check(spark, sf):
 
 @register("candidate_filter", f"with {R}, ok as (select * from grid where not exists (select 1 from al where al.enc = grid.enc and al.cls = grid.cls)) select fold::int as fold, count(*) as n from ok group by 1")
 def candidate_filter(spark, sf):
-    """Candidates that an exact allergy does not forbid."""
-    s, f, g = v.grid(spark, sf)
-    judged = ru.verdicts(g.select("enc", "cls"), ru.allergy_reasons(g.select("enc", "cls"), allergies(spark, sf, s), 3))
-    return ru.admissible(g, judged).groupBy("fold").agg(F.count("*").alias("n"))
+    """Candidates that an exact allergy does not forbid: all of a fold's encounters have the same ones, so only those struck out are pairs."""
+    s, f, cands = v.base(spark, sf)
+    near = allergies(spark, sf, s).join(f, "enc").join(cands, ["fold", "cls"]).select("enc", "fold", "cls")
+    judged = ru.verdicts(near.select("enc", "cls"), ru.allergy_reasons(near.select("enc", "cls"), near.select("enc", "cls"), 3))
+    struck = judged.where(F.col("verdict") == ru.FORBIDDEN).join(f, "enc").groupBy("fold").agg(F.count("*").alias("struck"))
+    each = f.groupBy("fold").agg(F.count("*").alias("encs")).join(cands.groupBy("fold").agg(F.count("*").alias("m")), "fold").join(struck, "fold", "left")
+    return each.select("fold", (F.col("encs") * F.col("m") - F.coalesce("struck", F.lit(0))).alias("n"))
 
 
 @register("class_warning", f"with {R}, {v.scores_sql('frequency')}, {v.ranked_sql()}, sub as (select distinct user_id enc, cls || '01' cls from events join pool on pool.i = cast(json_extract(props, '$.k') as int) * 3 % pool.n where event_type = 'error') select r.enc, r.cls, rnk::int as rank, case when exists (select 1 from sub where sub.enc = r.enc and starts_with(sub.cls, r.cls)) then 'allergy within the class' end as note from ranked r where rnk <= 5")
 def class_warning(spark, sf):
-    s = v.sides(spark, sf).cache()
-    f = v.folds(s)
-    r = rk.frequency_top(s, f, rk.candidates(s, f), 5)
+    from . import ranking as rp
+
+    s, _, r = rp.ranked("frequency", spark, sf, k=5)
     sub = allergies(spark, sf, s).withColumn("cls", F.concat("cls", F.lit("01")))
     return ru.class_warnings(r, sub).select("enc", "cls", "rank", "note")
 
 
 @register("a_only_downgrade", f"""with {M}, ag as (select enc, code cond, bool_and(agent = 'A') only_a from men where code is not null group by 1, 2),
 c(rule_id, target, tr) as (values (1, 'E', 'A'), (2, 'P', 'D3'), (3, 'S', 'G')), d(cls) as (values ('E01'), ('P12'), ('S33')),
-f as (select enc, rule_id, target, bool_and(only_a) w from ag join c on starts_with(cond, tr) group by 1, 2, 3)
-select cls, case when w then 'to_verify' else 'forbidden' end as verdict, count(*) as n from f join d on starts_with(cls, target) group by 1, 2""")
+f as (select enc, rule_id, target, bool_and(only_a) w, bool_or(only_a) x from ag join c on starts_with(cond, tr) group by 1, 2, 3)
+select cls, 'contra_' || rule_id as reason, case when w then 'to_verify' else 'forbidden' end as verdict, count(*) as n from f join d on starts_with(cls, target) group by 1, 2, 3
+union all select cls, 'weak_provenance', 'to_verify', count(*) from f join d on starts_with(cls, target) where x group by 1""")
 def a_only(spark, sf):
     ag = agents_per_code(spark, sf).withColumnRenamed("code", "cond")
     contra = spark.createDataFrame([(1, "E", "A", "forbidden", None, None), (2, "P", "D3", "forbidden", None, None), (3, "S", "G", "forbidden", None, None)], "rule_id int, target string, trigger string, verdict string, revoked string, missing string")
     d = ag.select("enc").distinct().withColumn("cls", F.explode(F.array(*[F.lit(x) for x in ("E01", "P12", "S33")])))
-    return ru.contra_reasons(d, ag.select("enc", "cond"), contra, ag).groupBy("cls", "verdict").agg(F.count("*").alias("n"))
+    return ru.contra_reasons(d, ag.select("enc", "cond"), contra, ag).groupBy("cls", "reason", "verdict").agg(F.count("*").alias("n"))
+
+
+@register("duplicate_substance", f"""with {R}, al1 as (select enc, cls from bef), d1 as (select enc, cls from aft),
+s as (select d1.* from d1 join bef on bef.enc = d1.enc and bef.cls = d1.cls),
+g as (select d1.* from d1 where not exists (select 1 from s where s.enc = d1.enc and s.cls = d1.cls) and exists (select 1 from bef where bef.enc = d1.enc and substr(bef.cls,1,1) = substr(d1.cls,1,1)))
+select 'duplicate_substance' as reason, count(*) as n, count(distinct enc) as n_enc from s union all select 'duplicate_group', count(*), count(distinct enc) from g""")
+def duplicate_substance(spark, sf):
+    """A candidate that is taken already duplicates its substance; else its group may be."""
+    s = v.sides(spark, sf)
+    return ru.duplicate_reasons(rk.after(s), rk.before(s), 1, itself=False).groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("enc").alias("n_enc"))
+
+
+@register("filter_state", f"""with {M}, c as (select enc, code, string_agg(distinct agent, '' order by agent) agents from men where kind = 'condition' and code is not null and state = 'affirmed' and subject = 'patient' group by 1, 2)
+select enc, 'condition' as kind, code, agents from c union all select distinct enc, 'therapy', code, '' from men where kind = 'drug' and code is not null and state = 'affirmed'""")
+def filter_state(spark, sf):
+    """What the filter sees of a patient: conditions with their agents, and every affirmed coded drug."""
+    return al.filter_state(mentions(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import ranking as rk
+from ..store import small, written
 from . import views as v
 
 QUERIES, ORACLES = {}, {}
@@ -22,28 +23,29 @@ def register(name, oracle=None):
     return put
 
 
-def scores(kind, spark, sf, unit=3):
-    s, f, g = v.grid(spark, sf, unit)
-    if kind == "continuity":
-        return s, f, rk.by_continuity(g, s)
+def order_of(kind, s, f, cands):
+    """The order that a ranker gives all encounters of a fold, before anything of their own; folds times the class vocabulary."""
     if kind == "frequency":
-        return s, f, rk.by_frequency(g, s, f)
-    if kind == "random_hash":
-        return s, f, rk.by_hash(g)
-    cond = v.conditions(spark, sf).join(s.select("enc").distinct(), "enc", "left_semi")
-    if kind == "symbolic":
-        return s, f, rk.by_rules(g, v.rules(spark), cond, s)
-    return s, f, rk.by_hybrid(g, v.rules(spark), cond, s, f)
+        return small(rk.placed(rk.frequencies(s, f, cands)))
+    return small(rk.placed(rk.base_rates(s, f, cands) if kind == "hybrid" else rk.constant(cands)))
+
 
+def conditions_of(spark, sf, f):
+    return v.conditions(spark, sf).join(f.select("enc"), "enc", "left_semi")
 
-def ranked(kind, spark, sf, unit=3, k=None):
-    """(sides, folds, ranked); with k, only the first k of the frequency order are made."""
-    if kind == "frequency" and k:
-        s = v.sides(spark, sf, unit).cache()
-        f = v.folds(s)
-        return s, f, rk.frequency_top(s, f, rk.candidates(s, f), k)
-    s, f, sc = scores(kind, spark, sf, unit)
-    return s, f, rk.ordered(sc, rk.before(s))
+
+def ranked(kind, spark, sf, unit=3, k=K):
+    """(sides, folds, the first k of each encounter's order without its current classes)."""
+    s, f, cands = v.base(spark, sf, unit)
+    now = rk.before(s)
+    if kind == "random_hash":
+        return s, f, rk.first_k_by_hash(cands, f, now, k)
+    order, own = order_of(kind, s, f, cands), None
+    if kind == "symbolic":
+        own = rk.by_rules_of_fold(order, f, v.rules(spark), conditions_of(spark, sf, f), s)
+    if kind == "hybrid":
+        own = rk.by_hybrid(rk.hybrid_parts(order.select("fold", "cls", "score"), v.rules(spark), conditions_of(spark, sf, f), s, f))
+    return s, f, rk.first_k(order, f, now, k, own)
 
 
 def proposal(s, r, k=K):
@@ -93,8 +95,9 @@ def at_k(spark, sf):
 n as (select enc, count(*) n from adds group by 1), ap as (select n.enc, coalesce(sum(p), 0) / any_value(n.n) ap from n left join h on h.enc = n.enc group by 1)
 select round(avg(ap), 6) as map, count(*) as n_enc from ap""")
 def map_additions(spark, sf):
-    s, _, r = ranked("frequency", spark, sf)
-    return ev.average_precision(r, rk.added(s)).agg(F.round(F.avg("ap"), 6).alias("map"), F.count("*").alias("n_enc"))
+    s, f, cands = v.base(spark, sf)
+    order, t = order_of("frequency", s, f, cands), rk.added(s)
+    return ev.average_precision(rk.ranks_of(t, order, f, rk.before(s)), t).agg(F.round(F.avg("ap"), 6).alias("map"), F.count("*").alias("n_enc"))
 
 
 @register("two_task_map", _RANKED + """, tasks as (select 'added' task, enc, cls from adds union all select 'kept', enc, cls from aft where (enc, cls) in (select (enc, cls) from bef)),
@@ -103,20 +106,21 @@ h as (select task, r.enc, row_number() over (partition by task, r.enc order by r
 n as (select task, enc, count(*) n from ok group by 1, 2), ap as (select n.task, n.enc, coalesce(sum(p), 0) / any_value(n.n) ap from n left join h on h.enc = n.enc and h.task = n.task group by 1, 2)
 select task, round(avg(ap), 6) as map, count(*) as n_enc from ap group by 1""")
 def two_tasks(spark, sf):
-    s, f, sc = scores("frequency", spark, sf)
-    r = rk.ordered(sc)
+    s, f, cands = v.base(spark, sf)
+    order = order_of("frequency", s, f, cands)
     out = None
     for task, rows in (("added", rk.added(s)), ("kept", rk.after(s).join(rk.before(s), ["enc", "cls"], "left_semi"))):
-        ok = rows.join(sc.select("enc", "cls"), ["enc", "cls"], "left_semi")  # targets among the candidates
-        one = ev.average_precision(r, ok).agg(F.round(F.avg("ap"), 6).alias("map"), F.count("*").alias("n_enc")).select(F.lit(task).alias("task"), "map", "n_enc")
+        # targets among the candidates; nothing is left out, so a target's rank is its place in the fold's order
+        ok = rows.join(f, "enc").join(order, ["fold", "cls"]).select("enc", "cls", F.col("place").alias("rank"))
+        one = ev.average_precision(ok, ok).agg(F.round(F.avg("ap"), 6).alias("map"), F.count("*").alias("n_enc")).select(F.lit(task).alias("task"), "map", "n_enc")
         out = one if out is None else out.union(one)
     return out
 
 
 @register("candidate_ceiling", f"with {v.base_sql(3)} select count(*) as n_added, count(g.cls) as n_reachable, round(count(g.cls)::double / count(*), 6) as ceiling from adds a left join grid g on g.enc = a.enc and g.cls = a.cls")
 def ceiling(spark, sf):
-    s, f, g = v.grid(spark, sf)
-    got = rk.added(s).join(g.select("enc", "cls", F.lit(1).alias("in")), ["enc", "cls"], "left")
+    s, f, cands = v.base(spark, sf)
+    got = rk.added(s).join(f, "enc").join(cands.withColumn("in", F.lit(1)), ["fold", "cls"], "left")
     return got.agg(F.count("*").alias("n_added"), F.count("in").alias("n_reachable"), F.round(F.count("in").cast("double") / F.count("*").cast("double"), 6).alias("ceiling"))
 
 
@@ -135,9 +139,8 @@ def domain_share(spark, sf):
 
 @register("pmi_features", f"with {v.base_sql(3)}, {v.scores_sql('hybrid')} select fold::int as fold, feat, cls, round(pmi, 6) as pmi from pm")
 def pmi(spark, sf):
-    s, f, _ = v.grid(spark, sf)
-    cond = v.conditions(spark, sf).join(f.select("enc"), "enc", "left_semi")
-    return rk.pmi(cond, s, f).select("fold", "feat", "cls", F.round("pmi", 6).alias("pmi"))
+    s, f, _ = v.base(spark, sf)
+    return rk.pmi(conditions_of(spark, sf, f), s, f).select("fold", "feat", "cls", F.round("pmi", 6).alias("pmi"))
 
 
 @register("hybrid_score_top5", f"with {v.base_sql(3)}, {v.scores_sql('hybrid')}, {v.ranked_sql()} select enc, cls, round(score, 6) as score, rnk::int as rank from ranked where rnk <= 5")
@@ -150,10 +153,10 @@ def hybrid_top(spark, sf):
 f as (select enc, upper(cls) cls, min(pos) pos from ans group by 1, 2), r as (select g.enc, g.cls, f.pos, row_number() over (partition by g.enc order by f.pos asc nulls last, g.cls) rnk from grid g left join f using (enc, cls))
 select enc, cls, rnk::int as rank from r where rnk <= 3""")
 def replay(spark, sf):
-    s, _, g = v.grid(spark, sf)
+    s, f, cands = v.base(spark, sf)
     answer = F.concat(F.array(F.lit("zzz")), F.reverse(F.array_sort(F.collect_list(F.concat(F.lower("cls"), F.lit("9"))))))
     answers = rk.after(s).groupBy("enc").agg(answer.alias("answer"))
-    return rk.replayed(answers, g).where("rank <= 3").select("enc", "cls", "rank")
+    return rk.replayed(answers, order_of("constant", s, f, cands), f, 3)
 
 
 @register("fold_sizes", "select cast(('0x'||substr(sha256('20260915:'||cast(c_custkey as varchar)),1,8)) as bigint) % 5 as fold, count(*) as n from customer group by 1")
@@ -173,7 +176,7 @@ def hash_split(spark, sf):
 
 
 _BOOT = """, r as (select *, row_number() over (partition by level order by enc) - 1 i, count(*) over (partition by level) n from {src}),
-d as (select level, k.round, cast(('0x'||substr(sha256('20260916:'||cast(k.round as varchar)||':'||cast(i as varchar)),1,8)) as bigint) % n i from r, (select unnest(range(100)) round) k),
+d as (select level, k.round, cast(('0x'||substr(sha256('20260916:'||cast(k.round as varchar)||':'||cast(i as varchar)),1,8)) as bigint) % n i from r, (select unnest(range(1000)) round) k),
 bm as (select d.level, d.round, avg(r.val) m from d join r on r.level = d.level and r.i = d.i group by 1, 2),
 s as (select *, row_number() over (partition by level order by m) - 1 j, count(*) over (partition by level) n from bm)
 select s.level::int as level, any_value(mean) as mean, round(max(m) filter (j = least(floor(n * 0.025), n - 1)), 6) as low, round(max(m) filter (j = least(floor(n * 0.975), n - 1)), 6) as high from s join (select level, round(avg(val), 6) mean from {src} group by 1) x on x.level = s.level group by s.level"""
@@ -199,9 +202,9 @@ def paired(spark, sf):
 @register("explainability", f"with {v.base_sql(3)}, {v.scores_sql('frequency')}, {v.ranked_sql()}, fired as (select distinct enc, rule_id from rules r join cond on kind = 'cond' and starts_with(cond, tr) union select distinct enc, rule_id from rules r join bef on kind = 'therapy' and starts_with(cls, tr)), x as (select r.enc, r.cls, exists (select 1 from fired join rules using (rule_id) where fired.enc = r.enc and starts_with(r.cls, target)) e, exists (select 1 from aft where aft.enc = r.enc and aft.cls = r.cls) h from ranked r where rnk <= 5) select count(*) as n, count(*) filter (e) as explained, round(avg(e::int), 6) as share, round(avg(h::int) filter (e), 6) as hits_explained, round(avg(h::int) filter (not e), 6) as hits_other from x")
 def explainability(spark, sf):
     s, f, r = ranked("frequency", spark, sf, k=5)
-    cond = v.conditions(spark, sf).join(f.select("enc"), "enc", "left_semi")
-    top = r.where("rank <= 5").select("enc", "cls")
-    e = rk.by_rules(top, v.rules(spark), cond, s).withColumn("e", F.col("score") > 0)
+    top = r.select("enc", "cls")
+    scored = rk.by_rules(top, v.rules(spark), conditions_of(spark, sf, f), s)
+    e = top.join(scored, ["enc", "cls"], "left").withColumn("e", F.coalesce(F.col("score") > 0, F.lit(False)))
     h = e.join(rk.after(s).withColumn("h", F.lit(1.0)), ["enc", "cls"], "left").withColumn("h", F.coalesce("h", F.lit(0.0)))
     return h.agg(F.count("*").alias("n"), F.count_if("e").alias("explained"), F.round(F.avg(F.col("e").cast("double")), 6).alias("share"), F.round(F.avg(F.when(F.col("e"), F.col("h"))), 6).alias("hits_explained"), F.round(F.avg(F.when(~F.col("e"), F.col("h"))), 6).alias("hits_other"))
 
@@ -215,18 +218,18 @@ def micro_recall(spark, sf):
 
 @register("weight_sweep", f"with {v.base_sql(3)}, {v.scores_sql('hybrid')}, wts(w) as (values (cast(0 as double)), (0.25::double), (0.5::double), (1::double)), rs as (select w, s.enc, s.cls, row_number() over (partition by w, s.enc order by round(s.score + (w - 0.5) * sym.score, 9) desc, s.cls) rnk from scores s join sym on sym.enc = s.enc and sym.cls = s.cls, wts where (s.enc, s.cls) not in (select (enc, cls) from bef)), t as (select enc, count(*) n from adds group by 1) select w as weight, round(avg((select count(*) from rs join adds a on a.enc = rs.enc and a.cls = rs.cls where rs.w = wts.w and rs.enc = t.enc and rnk <= 5)::double / n), 6) as recall from t, wts group by 1")
 def weight_sweep(spark, sf):
-    """Recall at 5 of the hybrid for several rule weights, scored in one plan."""
-    s, f, g = v.grid(spark, sf)
-    cond = v.conditions(spark, sf).join(f.select("enc"), "enc", "left_semi")
-    base = rk.by_hybrid(g, v.rules(spark), cond, s, f, 0.0)
-    both = base.join(rk.by_rules(g, v.rules(spark), cond, s).withColumnRenamed("score", "rules"), ["enc", "cls"]).join(rk.before(s), ["enc", "cls"], "left_anti")
-    each = both.withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.0, 0.25, 0.5, 1.0)]))).withColumn("score", F.col("score") + F.col("weight") * F.col("rules"))
-    from pyspark.sql import Window
-
-    r = each.withColumn("rank", F.row_number().over(Window.partitionBy("weight", "enc").orderBy(F.desc(F.round("score", 9)), "cls"))).where("rank <= 5")
-    n = rk.added(s).groupBy("enc").agg(F.count("*").cast("double").alias("n")).withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.0, 0.25, 0.5, 1.0)])))
-    h = r.join(rk.added(s), ["enc", "cls"]).groupBy("weight", "enc").agg(F.count("*").cast("double").alias("h"))
-    return n.join(h, ["weight", "enc"], "left").groupBy("weight").agg(F.round(F.avg(F.coalesce("h", F.lit(0.0)) / F.col("n")), 6).alias("recall"))
+    """Recall at 5 of the hybrid for several rule weights; what does not hang on the weight is made once."""
+    weights = (0.0, 0.25, 0.5, 1.0)
+    s, f, cands = v.base(spark, sf)
+    order, t, now = order_of("hybrid", s, f, cands), rk.added(s), rk.before(s)
+    parts = written(rk.hybrid_parts(order.select("fold", "cls", "score"), v.rules(spark), conditions_of(spark, sf, f), s, f), "hybrid-parts")
+    hits = None
+    for w in weights:
+        top = rk.first_k(order, f, now, K, rk.by_hybrid(parts, w))
+        one = top.join(t, ["enc", "cls"], "left_semi").groupBy("enc").agg(F.count("*").cast("double").alias("h")).withColumn("weight", F.lit(w))
+        hits = one if hits is None else hits.union(one)
+    n = t.groupBy("enc").agg(F.count("*").cast("double").alias("n")).withColumn("weight", F.explode(F.array(*[F.lit(w) for w in weights])))
+    return n.join(hits, ["weight", "enc"], "left").groupBy("weight").agg(F.round(F.avg(F.coalesce("h", F.lit(0.0)) / F.col("n")), 6).alias("recall"))
 
 
 @register("meeting_level", _RANKED + ", x as (select r.enc, r.cls, max(case when r.cls = a.cls then 2 when substr(r.cls,1,1) = substr(a.cls,1,1) then 1 else 0 end) l from ranked r join adds a using (enc) where rnk <= 5 group by 1, 2) select l::int as level, count(*) as n from x group by 1".replace("r join adds a using (enc)", "r join adds a on a.enc = r.enc"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import ranking as rk
+from ..store import written
 
 CUT = "1998-07-01"
 
@@ -68,11 +69,11 @@ def contra(spark) -> DataFrame:
     return spark.createDataFrame(CONTRA, "rule_id int, target string, trigger string, verdict string, revoked string, missing string")
 
 
-def grid(spark, sf, unit: int = 3):
-    """(sides, folds, grid of encounters and their fold's candidates)."""
-    s = sides(spark, sf, unit).cache()  # read by every branch of a ranking plan
+def base(spark, sf, unit: int = 3):
+    """(sides, folds, candidates): sides as a written table, since every branch of a ranking plan reads it."""
+    s = written(sides(spark, sf, unit), "sides")
     f = folds(s)
-    return s, f, rk.pairs(f, rk.candidates(s, f), s.select("enc").distinct())
+    return s, f, rk.candidates(s, f)
 
 
 def _values(rows) -> str:
