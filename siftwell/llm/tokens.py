@@ -5,7 +5,7 @@ Most of a text's words recur, so texts are cut into pieces first, the pieces of
 distinct by Arrow, and only pieces that the worker has not seen lately go to the tokenizer. Cuts
 stand only where the library's own pre-tokenizers always end a piece, whatever is around:
 
-* before white space that follows something else: no piece of either family holds white space
+* before white space that follows something else (or begins the text): no piece of either family holds white space
   after another character, and a run of white space stays whole, so its lookahead sees the same;
 * between a letter and a punctuation mark: a run of letters ends there;
 * between a punctuation mark other than the apostrophe and a letter (an apostrophe may begin a
@@ -28,7 +28,7 @@ from .common import by_value, worker_cache
 
 by_value(__name__)
 
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 200_000, 64
 #: Stands between pieces of a text; texts that hold one are encoded whole.
 CUT = "\x01"
 _LETTER = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}"
@@ -102,7 +102,15 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         whole = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         apart = texts if not whole.any() else pc.if_else(pa.array(whole), "", texts)
-        apart = pc.replace_substring_regex(apart, rf"([^{_SPACES}])([ \n\r\t])", r"\1" + CUT + r"\2")
+        # white space that stands alone is cut off by plain replacements, runs of it by an expression
+        runs = pc.match_substring_regex(apart, rf"[{_SPACES}][{_SPACES}]").to_numpy(zero_copy_only=False)
+        plain = apart
+        for c in (" ", "\n"):
+            plain = pc.replace_substring(plain, c, CUT + c)
+        if runs.any():
+            held = pc.replace_substring_regex(apart.filter(pa.array(runs)), rf"([^{_SPACES}])([ \n\r\t])", r"\1" + CUT + r"\2")
+            plain = pc.replace_with_mask(plain, pa.array(runs), held)
+        apart = plain
         apart = pc.replace_substring_regex(apart, rf"([{_LETTER}])([{_MARK}'])", r"\1" + CUT + r"\2")
         apart = pc.replace_substring_regex(apart, rf"([{_MARK}])([{_LETTER}])", r"\1" + CUT + r"\2")
         cut = pc.split_pattern(apart, CUT)
