@@ -1,32 +1,43 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. Training
-samples of ordinary text are its most common words; those of toxic text are the same plus the
-words that mark toxic documents (Poisson log-likelihood over documents, exact copies counted
-once). A text is cut into windows at white space and punctuation. zstandard gains nothing on
-windows of some five bytes, so every byte of a window is written as three (a fixed code);
-a window's margin is its compressed length under the ordinary dictionary less that under the
-toxic one. Ordinary material is in both, so its margin is near 0.
-
-A document's features are its largest margin and how many windows reach the calibrated
-window threshold; a logistic function fitted on training documents turns them into a score.
-
-Bounds of the training sample: ``MAX_DOCS`` toxic and twice as many ordinary documents (by
-hash order of the id) and ``MAX_CHARS`` characters of each training document. Scoring reads whole texts.
+A text (lower case, white space as single blanks) is cut into overlapping windows of some words,
+about ``WINDOW`` bytes long. Two zstandard dictionaries are made: one of ordinary text, and one of
+toxic windows with the same ordinary text after them. A window's margin is its compressed length
+under the ordinary dictionary less that under the toxic one: what only toxic text has makes it
+positive, whatever both have leaves it near 0.
+
+Labels mark documents, not windows, so the toxic dictionary is learned in rounds, by compressed
+lengths alone. Toxic documents are dealt into two halves. zstandard's trainer makes a dictionary of
+each half's windows, each half is scored by the other half's dictionary, and the windows whose
+margin reaches a threshold (a quantile of the margins of ordinary documents that no dictionary
+holds) are what the next round's dictionaries are trained on. A window that the other half holds
+nearly whole is a copied passage, no recurring expression, and has margin 0 (``COPY``).
+
+zstandard spends some five bytes on a match in a large dictionary, about what a short word takes.
+So every byte is written as two (itself and a fixed other one), in the dictionaries as in the
+windows, and each window follows a heading that both dictionaries hold, so that no window falls
+under the least gain for which zstandard compresses at all.
+
+A document's features are how many of its windows reach margins of several sizes, the sum and the
+largest of them, and the number of its windows; a logistic function of them, fitted on training
+documents (toxic ones as scored by the other half's dictionary) and set to the share of toxic
+documents among all labelled ones, is its score.
+
+Bound of the training sample: ``MAX_DOCS`` toxic and twice as many ordinary documents, by hash order
+of the id. Their texts are read whole, as are all texts that are scored.
 
 Edge cases: null and empty texts have no windows and get the score of no evidence; labels
 that are null are not learned from; without labels of both kinds every score is 0; repeated
-rows get equal scores; an empty table gives an empty result; extra columns are carried along.
+rows get equal scores; an empty table gives an empty result; extra columns are carried along, and
+one of the name given to the score is overwritten.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,108 +47,115 @@ from .common import by_value, held_out, worker_cache
 
 by_value(__name__)
 
-MAX_DOCS, MAX_CHARS = 1500, 8000
-#: Words of each dictionary; a toxic word's least evidence (nats, and nats for each toxic
-#: document, since near copies of a document repeat its chance words), least ratio and bytes.
-ORDINARY_WORDS, TOXIC_WORDS, EVIDENCE, EVIDENCE_EACH, RATIO, LEAST = 3000, 400, 25.0, 0.04, 8.0, 4
-CUT = "[\\s.,!?;:%$&*#|()\"'<>/\\[\\]{}=-]+"
+MAX_DOCS = 1500
+#: Bytes of a window, rounds of learning, quantile of ordinary margins that a toxic window must
+#: reach, share of a window from which its gain means a copy, and steps of the margins' counts.
+WINDOW, ROUNDS, QUANTILE, COPY, STEPS = 32, 4, 0.99, 0.45, (2, 4, 6, 9, 13)
 THRESHOLD = 0.3
-CACHE = 200_000
+_OTHER = bytes((i * 151 + 77) % 256 for i in range(256))
+_HEADING = bytes(range(128, 176))
+
+
+def spread(b: bytes) -> bytes:
+    """Each byte as two."""
+    out = bytearray(2 * len(b))
+    out[::2] = b
+    out[1::2] = b.translate(_OTHER)
+    return bytes(out)
+
+
+def windows(text: str | None) -> list[bytes]:
+    """Overlapping windows of whole words, spread; each begins and ends with a blank."""
+    b = re.sub(rb"\s+", b" ", b" " + (text or "").lower().encode("utf-8", "surrogatepass") + b" ")
+    if len(b) < 2:
+        return []
+    wide, n, out, i = spread(b), len(b), [], 0
+    while True:
+        j = b.find(b" ", i + WINDOW)
+        if j < 0:
+            j = n - 1
+        out.append(wide[2 * i : 2 * j + 2])
+        if j == n - 1:
+            return out
+        k = b.find(b" ", i + WINDOW // 2)
+        i = k if k < j else j
 
 
-def window_code(word: bytes) -> bytes:
-    """A window as it is compressed: each byte as three, a blank at both ends."""
-    b = np.frombuffer(b" " + word + b" ", dtype=np.uint8)
-    out = np.empty((len(b), 3), dtype=np.uint8)
-    out[:, 0], out[:, 1], out[:, 2] = b, b * np.uint8(151) + np.uint8(77), b * np.uint8(29) + np.uint8(131)
-    return out.tobytes()
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """content: text as ``windows`` gives it, the nearest last."""
+    params = zstandard.ZstdCompressionParameters(window_log=25, hash_log=22, chain_log=22, search_log=6, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_checksum=0, write_content_size=0, write_dict_id=0)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + _HEADING, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
-def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    """Deep search and large tables, so that a match in the dictionary is always found."""
-    params = zstandard.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=18, search_log=9, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_checksum=0, write_content_size=0, write_dict_id=0)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
-
-
-def windows(texts: pa.Array) -> pa.ListArray:
-    return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), CUT)
-
-
-class Margins:
-    """Margins of words, kept for frequent ones."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.toxic, self.known = compressor(ordinary), compressor(toxic), {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        known, out = self.known, np.zeros(len(words), dtype=np.int32)
-        if len(known) > CACHE:
-            known.clear()
-        for i, w in enumerate(words):
-            m = known.get(w)
-            if m is None:
-                raw = w.encode()
-                m = 0
-                if len(raw) >= LEAST:
-                    code = window_code(raw)
-                    m = len(self.plain.compress(code)) - len(self.toxic.compress(code))
-                if len(raw) <= 64:
-                    known[w] = m
-            out[i] = m
-        return out
-
-
-def document_margins(texts: pa.Array, margins: Margins) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Largest margin of each document; then, flat, document numbers and margins over 0."""
-    cut = windows(texts)
-    flat = cut.flatten().dictionary_encode()
-    per_word = margins(flat.dictionary.to_pylist())
-    each = per_word[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int32)
-    sizes = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    most = np.zeros(len(texts), dtype=np.int32)
-    np.maximum.at(most, doc[each > 0], each[each > 0])
-    return most, doc[each > 0], each[each > 0]
-
-
-def fit(toxic: list[str], ordinary: list[str]) -> dict | None:
-    """Dictionaries, window threshold and logistic weights from training texts."""
+def lengths(c: zstandard.ZstdCompressor, ws: list[bytes]) -> np.ndarray:
+    compress = c.compress
+    return np.array([len(compress(_HEADING + w)) for w in ws], dtype=np.int32)
+
+
+def margins(ordinary: np.ndarray, toxic: np.ndarray, ws: list[bytes]) -> np.ndarray:
+    m = ordinary - toxic
+    return np.where(m > COPY * np.array([len(w) for w in ws]), 0, m)
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """zstandard's trainer over windows; too few windows for it stand for themselves."""
+    if not samples:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def features(ms: list[np.ndarray]) -> np.ndarray:
+    """One row per document from the margins of its windows."""
+    cols = [np.ones(len(ms))]
+    cols += [np.array([np.log1p((m >= k).sum()) for m in ms]) for k in STEPS]
+    cols.append(np.array([np.log1p(m[m >= STEPS[0]].sum()) for m in ms]))
+    cols.append(np.array([min(int(m.max(initial=0)), 30) / 10 for m in ms]))
+    cols.append(np.log(np.array([len(m) for m in ms]) + 1.0))
+    return np.stack(cols, axis=1)
+
+
+def fit(toxic: list[str], ordinary: list[str], share: float | None = None) -> dict | None:
+    """Dictionaries and logistic weights. share: toxic documents among all labelled ones."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     if not toxic or not ordinary:
         return None
-    words = lambda texts: [sorted(set(x)) for x in windows(pa.array(texts, pa.string())).to_pylist()]
-    tw, ow = words(toxic), words(ordinary)
-    ct, co = Counter(w for x in tw for w in x), Counter(w for x in ow for w in x)
-
-    def evidence(w: str) -> float:
-        a, e = ct[w], (co[w] + 0.5) / (len(ordinary) + 1) * len(toxic)
-        return a * math.log(a / e) - (a - e) if a > RATIO * e else 0.0
-
-    bar = max(EVIDENCE, EVIDENCE_EACH * len(toxic))
-    ranked = sorted(((-evidence(w), w) for w in ct if len(w.encode()) >= LEAST and evidence(w) >= bar))[:TOXIC_WORDS]
-    common = sorted(co.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS]
-    plain = b"".join(window_code(w.encode()) for w, _ in reversed(common) if w)
-    marks = b"".join(window_code(w.encode()) for _, w in reversed(ranked))
-    model = {"ordinary": plain, "toxic": plain + marks}
-    margins = Margins(model["ordinary"], model["toxic"])
-    texts = pa.array(toxic + ordinary, pa.string())
-    label = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
-    most, doc, each = document_margins(texts, margins)
-    # the window threshold that parts training documents best
-    best = max(range(2, 40), key=lambda k: (((most >= k) & (label == 1)).sum() / len(toxic) - ((most >= k) & (label == 0)).sum() / len(ordinary), -abs(k - 8)))
-    model["threshold"] = int(best)
-    x = features(most, doc, each, best)
-    model["weights"] = logistic(x, label).tolist()
-    return model
-
-
-def features(most: np.ndarray, doc: np.ndarray, each: np.ndarray, threshold: int) -> np.ndarray:
-    n = np.bincount(doc[each >= threshold], minlength=len(most)) if len(doc) else np.zeros(len(most))
-    return np.c_[np.ones(len(most)), most >= threshold, np.log1p(n), np.minimum(most, 40) / 20.0]
+    # half of the ordinary documents make the dictionary, the others tell what margins ordinary text has
+    base = b"".join(spread(re.sub(rb"\s+", b" ", b" " + t.lower().encode("utf-8", "surrogatepass"))) for t in ordinary[::2])
+    rest = [windows(t) for t in ordinary[1::2] or ordinary]
+    plain = compressor(base)
+    halves = [[windows(t) for t in toxic[i::2]] for i in (0, 1)]
+    seen = [[lengths(plain, ws) for ws in half] for half in halves]
+    calm = [lengths(plain, ws) for ws in rest]
+    chosen, at, made = halves, [[], []], [b"", b""]
+    for _ in range(ROUNDS):
+        sizes = [sum(len(w) for ws in half for w in ws) for half in chosen]
+        step = [trained([w for ws in half for w in ws], max(16_000, int(0.8 * n) if chosen is not halves else n // 8)) for half, n in zip(chosen, sizes)]
+        tools = [compressor(t + base) for t in step]
+        at = [[margins(s, lengths(tools[1 - i], ws), ws) for s, ws in zip(seen[i], halves[i])] for i in (0, 1)]
+        clean = np.concatenate([margins(s, lengths(tools[k % 2], ws), ws) for k, (s, ws) in enumerate(zip(calm, rest))] or [np.zeros(0, np.int32)])
+        bar = max(STEPS[0], int(np.quantile(clean, QUANTILE))) if len(clean) else STEPS[0]
+        new = [[[w for w, m in zip(ws, ms) if m >= bar] for ws, ms in zip(half, scores)] for half, scores in zip(halves, at)]
+        made = step
+        if not any(new[0]) or not any(new[1]):
+            break
+        chosen = new
+    picked = [w for half in chosen for ws in half for w in ws]
+    marks = trained(picked, max(16_000, int(0.8 * sum(map(len, picked))))) if chosen is not halves else made[0] + made[1]
+    tool = compressor(marks + base)
+    x = features([*at[0], *at[1], *[margins(s, lengths(tool, ws), ws) for s, ws in zip(calm, rest)]])
+    y = np.r_[np.ones(len(toxic)), np.zeros(len(rest))]
+    w = logistic(x, y)
+    if share is not None:
+        odds = np.log(len(toxic) / len(rest)) - np.log(min(max(share, 1e-6), 1 - 1e-6) / (1 - min(max(share, 1e-6), 1 - 1e-6)))
+        w[0] -= odds
+    return {"ordinary": base, "toxic": marks, "weights": w.tolist()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Newton steps with a ridge; both labels weigh as they occur."""
+    """Newton steps with a ridge."""
     w = np.zeros(x.shape[1])
     keep = ridge * np.diag([0.01] + [1.0] * (x.shape[1] - 1))
     for _ in range(steps):
@@ -146,43 +164,58 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> dict | None:
+class Scorer:
+    """A model's compressors, and the scores of texts."""
+
+    def __init__(self, model: dict):
+        self.plain, self.toxic = compressor(model["ordinary"]), compressor(model["toxic"] + model["ordinary"])
+        self.weights = np.array(model["weights"])
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        ms = []
+        for t in texts:
+            ws = windows(t)
+            ms.append(margins(lengths(self.plain, ws), lengths(self.toxic, ws), ws))
+        return 1 / (1 + np.exp(-np.clip(features(ms) @ self.weights, -30, 30))) if ms else np.zeros(0)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
     """Fit on at most ``max_docs`` toxic and twice as many ordinary training documents."""
     spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = {}
+    counts = {int(r.toxic): r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     picks = None
     for t in (0, 1):
         ids = marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs * (2 - t))
         picks = ids if picks is None else picks.unionByName(ids)
     ids = picks.collect()  # at most 3 * max_docs numbers
     chosen = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in ids], "doc_id long, toxic int")
-    rows = docs.select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()
+    texts: dict[int, list[str]] = {}
     for r in rows:
         texts.setdefault(r.toxic, []).append(r.text)
-    return fit(texts.get(1, []), texts.get(0, []))
+    n = counts.get(0, 0) + counts.get(1, 0)
+    return fit(texts.get(1, []), texts.get(0, []), counts.get(1, 0) / n if n else None)
 
 
 def score(docs: DataFrame, model: dict | None, name: str = "toxicity") -> DataFrame:
     """All columns and ``name``, a score from 0 to 1, of whole texts."""
-    if model is None:
-        return docs.drop(name).withColumn(name, F.lit(0.0))
     docs = docs.drop(name)
+    if model is None:
+        return docs.withColumn(name, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = model["toxic"][-64:] + str(model["weights"]).encode()
+    key = (len(model["ordinary"]), model["toxic"][-64:], str(model["weights"]))
+    at = docs.columns.index("text")
 
     def run(batches):
-        cache, m = worker_cache(), shared.value
+        cache = worker_cache()
         if cache.get("toxicity-key") != key:
-            cache["toxicity-key"], cache["toxicity"] = key, Margins(m["ordinary"], m["toxic"])
-        margins, w = cache["toxicity"], np.array(m["weights"])
+            cache["toxicity-key"], cache["toxicity"] = key, Scorer(shared.value)
+        scorer = cache["toxicity"]
         for batch in batches:
             for part in slices(batch):
-                x = features(*document_margins(part.column(at), margins), m["threshold"])
-                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(part.column(at).to_pylist()))], names=[*part.schema.names, name])
 
-    at = docs.columns.index("text")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 

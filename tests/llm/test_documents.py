@@ -263,10 +263,46 @@ def test_toxicity(spark, odd, empty):
     model = toxicity.train(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     got = {r.doc_id: r.s for r in toxicity.score(frame(spark, docs), model, "s").collect()}
     held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
-    assert all((got[i] >= 0.3) == (i % 4 == 0) for i in held)
+    marked, calm = [i for i in held if i % 4 == 0], [i for i in held if i % 4]
+    assert sum(got[i] >= 0.3 for i in marked) >= 0.95 * len(marked) and sum(got[i] >= 0.3 for i in calm) <= 0.05 * len(calm)
     assert toxicity.score(df, model, "s").count() == len(rows) and toxicity.score(empty, model, "s").count() == 0
 
 
+def test_toxicity_windows_and_lengths():
+    """Windows cover the whole text, and lengths are those of plain zstandard with the same dictionary."""
+    import zstandard
+
+    rng = random.Random(6)
+    text = "\n".join(" ".join(rng.choice(["Alpha", "be", "gamma-ray", "été", "x" * 90]) for _ in range(30)) for _ in range(8))
+    ws = toxicity.windows(text)
+    flat = b" " + " ".join(text.lower().split()).encode() + b" "
+    plain = [w[::2] for w in ws]
+    at, end = 0, 0
+    for w, wide in zip(plain, ws):
+        at = flat.index(w, at)
+        assert at <= end and w[:1] == w[-1:] == b" " and wide == toxicity.spread(w)
+        end = at + len(w)
+    assert end == len(flat) and max(map(len, plain)) < 2 * 92 + toxicity.WINDOW
+    assert toxicity.windows("") == toxicity.windows(None) == toxicity.windows(" \n ") == [] or all(not w.strip() for w in toxicity.windows(""))
+    content = toxicity.spread(b" gamma-ray be alpha " * 40)
+    tool = toxicity.compressor(content)
+    got = toxicity.lengths(tool, ws)
+    back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content + toxicity._HEADING, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    for w, n in zip(ws, got):
+        z = tool.compress(toxicity._HEADING + w)
+        assert len(z) == n and back.decompress(z, max_output_size=1 << 20) == toxicity._HEADING + w
+    # a score is the logistic function of the features of brute-force margins
+    model = {"ordinary": content, "toxic": toxicity.spread(b" zonkhead "), "weights": [-1.0, 0.3, 0.2, 0.1, 0.5, 0.1, 0.2, 0.4, -0.1]}
+    docs = [text, "be zonkhead gamma-ray and zonkhead", "", None]
+    for t, p in zip(docs, toxicity.Scorer(model)(docs)):
+        m = []
+        for w in toxicity.windows(t):
+            a, b = (len(toxicity.compressor(c).compress(toxicity._HEADING + w)) for c in (content, model["toxic"] + content))
+            m.append(a - b if a - b <= toxicity.COPY * len(w) else 0)
+        x = [1.0, *[np.log1p(sum(v >= k for v in m)) for k in toxicity.STEPS], np.log1p(sum(v for v in m if v >= toxicity.STEPS[0])), min(max(m, default=0), 30) / 10, np.log(len(m) + 1)]
+        assert abs(p - 1 / (1 + np.exp(-np.dot(x, model["weights"])))) < 1e-9
+
+
 def test_licenses(spark, odd, empty):
     df, rows = odd
     assert licenses.license_scan(df).count() == len(rows) and licenses.license_scan(empty).count() == 0
