@@ -3,19 +3,21 @@
 1. Words are hashed in bulk (numpy), shingles are five words, a document's set is its distinct
    shingle hashes (64 bits). Documents with equal sets form a class; one row of each class goes on.
 2. A signature has ``COORDS`` coordinates. Each coordinate-value pair is a token under which
-   classes are posted. Two classes that share at least ``MATCHES`` tokens share one among the
-   ``COORDS - MATCHES + 1`` rarest of either (prefix filtering by ascending frequency), so only
-   those are joined, and a class whose rare tokens are all its own is skipped at once.
+   classes are posted. Two classes that share at least m tokens share one among the
+   ``COORDS - m + 1`` rarest of either (prefix filtering by ascending frequency), so only
+   those are joined, and a class whose rare tokens are all its own is skipped at once. m is the
+   most for which a pair at the threshold is missed with a probability of ``MISS`` at most.
 3. Short posting lists (``SHORT`` or less) are self-joined; pairs count collisions over whole
    signatures, and those at the threshold are confirmed on full sets.
-4. Long lists are cut into blocks; each pair of blocks goes to one task, which merges its
-   classes with a union-find and skips every pair that is connected already, so a group of
-   thousands of near copies yields a spanning forest of confirmed links instead of all pairs.
-   No pair of different components at or over the threshold is left unchecked.
+4. Long lists are merged by skipping. In ``ROUNDS`` rounds some classes of each list are hubs:
+   each is compared with the list's other classes, and what is linked is contracted, so a group of
+   many thousands of near copies costs a few comparisons a copy. Lists that then lie in one
+   component are done. In the others, all classes outside the largest component are compared with
+   all others, in pairs of blocks, by a union-find that skips what is connected already. No pair of
+   different components at or over the threshold is left unchecked.
 5. Components by minimum labels with pointer jumping over written tables.
 
-A pair with a similarity of exactly 0.85 shares fewer than 28 of 48 coordinates with a
-probability of about 1e-5; the links kept are exact (100 * common >= 85 * union on full sets).
+The links kept are exact (100 * common >= percent * union on full sets).
 
 Edge cases: null or wordless texts have an empty set and are linked with nothing; texts with
 fewer than five words have the whole sequence as their one shingle; repeated rows fall into one
@@ -25,20 +27,32 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_value, parallelism, written
 
 by_value(__name__)
 
-COORDS, MATCHES, SHINGLE, SHORT, BLOCK = 48, 28, 5, 16, 768
-PERCENT = 85
+COORDS, SHINGLE, SHORT, BLOCK, HUBS, ROUNDS = 48, 5, 16, 768, 4, 2
+PERCENT, MISS = 85, 1e-6
 _U = np.uint64
 
 
+def least_matches(percent: int, miss: float = MISS) -> int:
+    """The most coordinates of which a pair at the threshold has as many in common but for a probability of ``miss``."""
+    p, below = percent / 100, 0.0
+    for m in range(COORDS + 1):
+        below += math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)
+        if below > miss:
+            return max(1, m)
+    return COORDS
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (invertible, spreads all bits)."""
     x = x ^ (x >> _U(31))
@@ -184,14 +198,18 @@ def _sets(batches):
             )
 
 
-def _collide(batches):
+def _collide(matches):
     """(a, b, sig_a, sig_b) -> pairs with enough collisions."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.int64).reshape(-1, COORDS) for i in (2, 3))
-        keep = (x == y).sum(axis=1) >= MATCHES
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.int64).reshape(-1, COORDS) for i in (2, 3))
+            keep = (x == y).sum(axis=1) >= matches
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    return run
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -210,18 +228,19 @@ def _confirm(percent):
     return run
 
 
-def forest(nodes: list[int], side: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def forest(nodes: list[int], side: np.ndarray, comps: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: int, matches: int) -> list[tuple[int, int]]:
     """Confirmed links that connect what the block pair's links connect.
 
     Within one block (all of side 0) every pair counts, else pairs across sides. A pair already
-    connected is skipped; the others are compared on full sets if their signatures allow it.
+    connected (by comps from the start) is skipped; the others are compared on full sets if their
+    signatures allow it.
     """
     n = len(nodes)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     two = side.any()
-    label = np.arange(n)  # component of each, kept flat
+    label = np.unique(comps, return_inverse=True)[1]  # component of each, kept flat
     mark = np.zeros(len(vocabulary), dtype=bool)
     out = []
     for i in range(n):
@@ -233,7 +252,7 @@ def forest(nodes: list[int], side: np.ndarray, sigs: np.ndarray, sets: list[np.n
         rest = rest[100 * lo >= percent * hi]
         if not len(rest):
             continue
-        rest = rest[(sigs[rest] == sigs[i]).sum(axis=1) >= MATCHES]
+        rest = rest[(sigs[rest] == sigs[i]).sum(axis=1) >= matches]
         if not len(rest):
             continue
         mine = codes[starts[i] : starts[i] + sizes[i]]
@@ -248,7 +267,7 @@ def forest(nodes: list[int], side: np.ndarray, sigs: np.ndarray, sets: list[np.n
     return out
 
 
-def _blocks(percent):
+def _blocks(percent, matches):
     """Rows of a block pair, sorted by (token, pair) -> links. One block pair is held at a time."""
 
     def run(batches):
@@ -263,9 +282,9 @@ def _blocks(percent):
                     seen.add((r[0], r[1]))
                     keep.append(r)
             links = forest(
-                [r[0] for r in keep], np.array([r[1] for r in keep]),
-                np.frombuffer(b"".join(r[2] for r in keep), dtype=np.int64).reshape(-1, COORDS),
-                [np.frombuffer(r[3], dtype=np.uint64) for r in keep], percent,
+                [r[0] for r in keep], np.array([r[1] for r in keep]), np.array([r[2] for r in keep], dtype=np.int64),
+                np.frombuffer(b"".join(r[3] for r in keep), dtype=np.int64).reshape(-1, COORDS),
+                [np.frombuffer(r[4], dtype=np.uint64) for r in keep], percent, matches,
             )
             return [x for x, _ in links], [y for _, y in links]
 
@@ -273,19 +292,56 @@ def _blocks(percent):
             return pa.RecordBatch.from_arrays([pa.array(ab[0], pa.int64()), pa.array(ab[1], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for token, p, q, node, side, sig, members in zip(*cols):
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            for token, p, q, node, side, comp, sig, members in zip(*cols):
                 if (token, p, q) != key:
                     if rows:
                         yield table(flush())
                     key, rows = (token, p, q), []
-                rows.append((node, side, sig, members))
+                rows.append((node, side, comp, sig, members))
         if rows:
             yield table(flush())
 
     return run
 
 
+def compared(spread: DataFrame, sigs: DataFrame, full: DataFrame, percent: int, matches: int) -> DataFrame:
+    """spread(token, p, q, node, side, comp): the links of each block pair (token, p, q)."""
+    keys = ["token", "p", "q"]
+    rows = spread.join(sigs.select("node", "sig"), "node").join(full, "node").select(*keys, "node", "side", "comp", "sig", "members")
+    rows = rows.repartition(parallelism(spread.sparkSession), *keys).sortWithinPartitions(*keys, "side", "node")
+    return rows.mapInArrow(_blocks(percent, matches), "a long, b long")
+
+
+def unsettled(long: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(token, node, comp, rest): classes of the lists that lie in several components yet; rest: outside the list's largest one."""
+    if labels is None:
+        return long.select("token", "node", F.col("node").alias("comp"), F.lit(True).alias("rest"))
+    rows = long.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
+    return rows.join(sizes.where("comps > 1"), "token").select("token", "node", "comp", (F.col("comp") != F.col("main")).alias("rest"))
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """Block pairs of each list's hubs (``HUBS`` classes of its rest, the same for all lists as far as they hold them) with its other classes."""
+    turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node"), "node"))
+    hubs = rows.where("rest").withColumn("turn", turn).where(F.col("turn") <= HUBS).select("token", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    pairs = rows.join(hubs, "token").where("comp != hub_comp").select("hub", "hub_comp", "node", "comp").distinct()
+    width = pairs.groupBy("hub", "hub_comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    ends = pairs.join(width.select("hub", "blocks"), "hub").select(F.col("hub").alias("token"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("p"), F.lit(0).alias("q"), "node", F.lit(1).alias("side"), "comp")
+    heads = width.select(F.col("hub").alias("token"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), F.lit(0).alias("q"), F.col("hub").alias("node"), F.lit(0).alias("side"), F.col("hub_comp").alias("comp"))
+    return heads.union(ends)
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """Block pairs of each list's rest among itself, and with its largest component."""
+    width = rows.groupBy("token").agg(F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("rb"), F.ceil(F.count_if(~F.col("rest")) / BLOCK).cast("int").alias("mb"))
+    dealt = rows.join(width, "token").withColumn("block", F.when(F.col("rest"), F.pmod(F.xxhash64("node"), F.col("rb"))).otherwise(F.col("rb") + F.pmod(F.xxhash64("node"), F.col("mb"))).cast("int"))
+    last = F.when(F.col("rest"), F.col("rb") + F.col("mb") - 1).otherwise(F.col("rb") - 1)
+    mates = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"), (F.col("block") > o).cast("int").alias("side")))
+    return dealt.select("token", "node", "comp", F.explode(mates).alias("m")).select("token", "m.p", "m.q", "node", "m.side", "comp")
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(a, b) links -> node, component (least node reachable), over linked nodes only."""
     both = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links")
@@ -304,7 +360,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row."""
-    spark = docs.sparkSession
+    spark, matches = docs.sparkSession, least_matches(percent)
     base = written(docs.select("doc_id", "text").mapInArrow(_digests, docs.select(F.col("doc_id")).schema.add("n_shingles", "long").add("digest", "binary").add("sig", "binary")), "shingled")
     named = base.where("digest is not null and doc_id is not null")
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
@@ -312,38 +368,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = posted.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     ranked = posted.join(common, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("t"))
     # tokens that a class shares with none come first in its prefix
-    left = F.lit(COORDS - MATCHES + 1) - (F.lit(COORDS) - F.size("t"))
+    left = F.lit(COORDS - matches + 1) - (F.lit(COORDS) - F.size("t"))
     prefix = ranked.where(left > 0).select("node", F.explode(F.slice("t", F.lit(1), F.greatest(left, F.lit(1)))).alias("x")).select("node", "x.token", "x.freq")
     prefix = written(prefix, "prefix")
     wanted = written(prefix.select("node").distinct(), "wanted")
-    few = wanted.count() <= 1_000_000  # 8 bytes each
-    wanted = F.broadcast(wanted) if few else wanted
-    sigs = classes.select("node", "sig", "n_shingles").join(wanted, "node", "left_semi")
+    sigs = written(classes.select("node", "sig", "n_shingles", "digest").join(wanted, "node", "left_semi"), "wanted-classes")
 
     short = prefix.where(F.col("freq") <= SHORT).select("node", "token")
     sized = short.join(sigs, "node")
     pairs = sized.select("token", F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")).join(sized.select("token", F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "token")
     fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = pairs.where((F.col("a") < F.col("b")) & fit).select("a", "b", "sa", "sb").mapInArrow(_collide, "a long, b long").distinct()
+    pairs = pairs.where((F.col("a") < F.col("b")) & fit).select("a", "b", "sa", "sb").mapInArrow(_collide(matches), "a long, b long").distinct()
     # full sets of the classes that are candidates at all, from a second scan
-    keys = classes.select("node", "digest").join(wanted, "node", "left_semi")
-    keys = F.broadcast(keys) if few else keys
     texts = docs.select(F.col("doc_id").alias("node"), "text").where("node is not null").join(wanted, "node", "left_semi")
-    full = texts.mapInArrow(_sets, "node long, digest binary, members binary").join(keys, ["node", "digest"]).groupBy("node", "digest").agg(F.first("members").alias("members")).select("node", "members")
+    full = texts.mapInArrow(_sets, "node long, digest binary, members binary").join(sigs.select("node", "digest"), ["node", "digest"]).groupBy("node").agg(F.first("members").alias("members"))
     full = written(full, "sets")
     checked = pairs.join(full.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    links = checked.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
-
-    long = prefix.where(F.col("freq") > SHORT)
-    width = long.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = long.select("token", "node").join(width, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"), (F.col("block") > o).cast("int").alias("side")))
-    spread = dealt.select("token", "node", F.explode(mates).alias("m")).select("token", "m.p", "m.q", "node", "m.side")
-    spread = spread.join(sigs.select("node", "sig"), "node").join(full, "node").select("token", "p", "q", "node", "side", "sig", "members")
-    spread = spread.repartition(parallelism(spark), "token", "p", "q").sortWithinPartitions("token", "p", "q", "side", "node")
-    links = links.union(spread.mapInArrow(_blocks(percent), "a long, b long"))
-
-    labels = components(spark, links)
+    links = written(checked.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"), "short-links")
+
+    long, labels = prefix.where(F.col("freq") > SHORT).select("token", "node"), None
+    if long.limit(1).count():
+        for turn in range(ROUNDS + 1):
+            rows = unsettled(long, labels)
+            spread = block_pairs(rows) if turn == ROUNDS else hub_pairs(rows)
+            links = links.union(written(compared(spread, sigs, full, percent, matches), "long-links"))
+            labels = components(spark, links)
+    else:
+        labels = components(spark, links)
     reps = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -125,7 +125,9 @@ def test_near_duplicates(spark, odd, empty, monkeypatch):
             words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(words), "en", "a"))
     rows += [(1000 + i, " ".join(f"y{rng.randrange(50)}" for _ in range(rng.randrange(1, 60))), "en", "b") for i in range(40)]
-    for short, block in ((16, 768), (4, 8)):  # the second sends all through many pairs of blocks
+    # the second sends all through many pairs of blocks, the third through hubs first
+    for short, block, rounds in ((16, 768, 2), (4, 8, 0), (4, 8, 2)):
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
         monkeypatch.setattr(neardup, "SHORT", short)
         monkeypatch.setattr(neardup, "BLOCK", block)
         got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows)).collect()}
