@@ -23,7 +23,7 @@ largest of them, and the number of its windows; a logistic function of them, fit
 documents (toxic ones as scored by the other half's dictionary) and set to the share of toxic
 documents among all labelled ones, is its score.
 
-Bound of the training sample: ``MAX_DOCS`` toxic and twice as many ordinary documents, by hash order
+Bound of the training sample: ``MAX_DOCS`` toxic and as many ordinary documents, by hash order
 of the id. Their texts are read whole, as are all texts that are scored.
 
 Edge cases: null and empty texts have no windows and get the score of no evidence; labels
@@ -50,7 +50,7 @@ by_value(__name__)
 MAX_DOCS = 1500
 #: Bytes of a window, rounds of learning, quantile of ordinary margins that a toxic window must
 #: reach, share of a window from which its gain means a copy, and steps of the margins' counts.
-WINDOW, ROUNDS, QUANTILE, COPY, STEPS = 32, 4, 0.99, 0.45, (2, 4, 6, 9, 13)
+WINDOW, ROUNDS, QUANTILE, COPY, STEPS = 40, 4, 0.99, 0.45, (2, 4, 6, 9, 13)
 THRESHOLD = 0.3
 _OTHER = bytes((i * 151 + 77) % 256 for i in range(256))
 _HEADING = bytes(range(128, 176))
@@ -83,7 +83,7 @@ def windows(text: str | None) -> list[bytes]:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     """content: text as ``windows`` gives it, the nearest last."""
-    params = zstandard.ZstdCompressionParameters(window_log=25, hash_log=22, chain_log=22, search_log=6, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY, write_checksum=0, write_content_size=0, write_dict_id=0)
+    params = zstandard.ZstdCompressionParameters(window_log=25, hash_log=22, chain_log=22, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0)
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + _HEADING, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
@@ -180,15 +180,15 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
-    """Fit on at most ``max_docs`` toxic and twice as many ordinary training documents."""
+    """Fit on at most ``max_docs`` toxic and as many ordinary training documents."""
     spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {int(r.toxic): r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     picks = None
     for t in (0, 1):
-        ids = marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs * (2 - t))
+        ids = marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         picks = ids if picks is None else picks.unionByName(ids)
-    ids = picks.collect()  # at most 3 * max_docs numbers
+    ids = picks.collect()  # at most 2 * max_docs numbers
     chosen = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in ids], "doc_id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()
     texts: dict[int, list[str]] = {}
