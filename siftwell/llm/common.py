@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import shared_dir, written  # noqa: F401
+
 
 def by_value(name: str) -> None:
     """Pickle a module's functions by value, so executors need no copy of the package."""
@@ -19,25 +19,6 @@ def by_value(name: str) -> None:
 by_value(__name__)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Unset, it is an error on a cluster; a local master gets a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="siftwell-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -55,3 +36,11 @@ def worker_cache() -> dict:
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one number, by which ranges and tasks are sized."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not (Spark ignores case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

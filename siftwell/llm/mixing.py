@@ -16,14 +16,18 @@ columns are ignored, so clashing names do no harm. A source without words has ta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, text_bytes, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of a source's queue (hex digits of MD5) and of one unit of finish time.
-QUEUE_DIGITS, FINISH_BUCKETS, FINISH_LAST = 3, 65536, 4 * 65536
+#: Documents in a cell of a queue or of the finish time, about.
+CELL = 4096
+#: Bytes of text in a task of the sorted mix.
+PART_BYTES = 64 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -55,20 +59,25 @@ def fair_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeats: int = 3) -> D
     return full.select("skey", "source", "source_size", "weight", target.alias("target"))
 
 
-def weighted_fair_mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3) -> DataFrame:
+def weighted_fair_mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3, key: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, finish (of copy 0).
 
-    Equal inputs give equal results: nothing depends on partitions or on sampling.
+    key: a column that is carried along as ``key``. Equal inputs give equal results: nothing depends
+    on partitions or on sampling.
     """
-    spark = docs.sparkSession
     mark = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col("text")), F.lit(""))))
     sized = written(
         docs.select(
             F.monotonically_increasing_id().alias("rid"), "doc_id", "source", word_count(F.col("text")).alias("size"), mark.alias("h"),
-            F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("skey"),
-        ).withColumn("queue", F.substring("h", 1, QUEUE_DIGITS)),
+            F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null")).alias("skey"), *([F.col(key).alias("key")] if key else []),
+        ),
         "mix-sizes",
     )
+    # cells grow in number with the documents: hex digits of a queue's order, steps of the finish time
+    n = sized.count()
+    digits = max(1, min(15, math.ceil(math.log(max(1, n / CELL), 16)) + 1))
+    steps = 1 << max(8, math.ceil(math.log2(max(1, n / CELL))) + 2)
+    sized = sized.withColumn("queue", F.substring("h", 1, digits))
     queues = sized.groupBy("skey", "queue").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     ahead = F.coalesce(F.sum("words").over(Window.partitionBy("skey").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     queues = queues.withColumn("ahead", ahead).withColumnRenamed("words", "queue_words")
@@ -82,30 +91,37 @@ def weighted_fair_mix(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3)
         return F.when((F.col("size") > 0) & (F.col("target") > 0), at)
 
     placed = written(
-        placed.select("rid", "doc_id", "source", "skey", "h", "size", "source_size", "target", F.array(*[finish(k) for k in range(max_repeats)]).alias("finish")),
+        placed.select("rid", "doc_id", "source", "skey", "h", "size", "source_size", "target", *(["key"] if key else []), F.array(*[finish(k) for k in range(max_repeats)]).alias("finish")),
         "mix-finish",
     )
-    bucket = lambda f: F.least(F.floor(f * FINISH_BUCKETS), F.lit(FINISH_LAST))
+    bucket = lambda f: F.least(F.floor(f * steps), F.lit(4 * steps))
     copies = placed.select("rid", "skey", "h", "size", F.posexplode("finish").alias("copy", "at")).where("at is not null").withColumn("bucket", bucket(F.col("at")))
     sums = copies.groupBy("bucket").agg(F.sum("size").alias("words"))
     total = F.lit(placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     upto = F.sum("words").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cut = sums.withColumn("upto", upto).where(F.col("upto") > total).orderBy("bucket").limit(1).select("bucket", (F.col("upto") - F.col("words")).alias("before")).first()
-    edge, before = (cut[0], cut[1]) if cut else (FINISH_LAST + 1, 0)
+    edge, before = (cut[0], cut[1]) if cut else (4 * steps + 1, 0)
     line = Window.partitionBy("bucket").orderBy("at", "skey", "h", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = copies.where(F.col("bucket") == edge).withColumn("upto", F.sum("size").over(line) + before).where(F.col("upto") <= total)
     last = last.groupBy("rid").agg(F.count("*").alias("more"))
     whole = F.aggregate(F.col("finish"), F.lit(0), lambda n, f: n + F.when(f.isNotNull() & (bucket(f) < edge), 1).otherwise(0))
     taken = placed.withColumn("whole", whole).join(last, "rid", "left")
     taken = taken.withColumn("copies", F.col("whole") + F.coalesce(F.col("more"), F.lit(0)))
-    return taken.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("finish")[0].alias("finish"), "skey", "h")
+    return taken.select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("finish")[0].alias("finish"), "skey", "h", *(["key"] if key else []))
 
 
 def mixed_stream(docs: DataFrame, weights=(5, 2, 1), max_repeats: int = 3) -> DataFrame:
-    """The mix itself: one row per admitted copy, range-sorted by virtual finish time."""
-    taken = weighted_fair_mix(docs, weights, max_repeats).where("copies > 0")
-    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")
-    rows = taken.select("doc_id", "source", "size", copy, "source_size", "target", "finish", "skey", "h")
-    rows = rows.withColumn("finish", F.col("finish") + F.col("copy") * F.col("source_size") / F.col("target"))
-    order = ["finish", "skey", "h", "copy"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "source", "copy", "size", "finish")
+    """The mix itself: documents with all their columns, a row per admitted copy, in the order of virtual finish time.
+
+    The finish times of the admitted copies lie in equal words, so ranges of them are known without
+    sampling: rows go to a range of the finish time each, and are sorted there.
+    """
+    rid, copy, at, part = (fresh(docs, x) for x in ("mix_row", "mix_copy", "mix_finish", "mix_part"))
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    taken = weighted_fair_mix(rows, weights, max_repeats, rid).where("copies > 0")
+    taken = written(taken.select(F.col("key").alias(rid), F.col("copies").alias(copy), F.col("finish").alias(at), (F.col("source_size") / F.col("target")).alias("again")), "mix-taken")
+    most = taken.agg(F.max(F.col(at) + F.col("again") * (F.col(copy) - 1))).first()[0] or 1.0
+    parts = max(1, -(-text_bytes(docs) // PART_BYTES))
+    each = taken.select(rid, at, "again", F.explode(F.sequence(F.lit(0), F.col(copy) - 1)).alias(copy)).select(rid, copy, (F.col(at) + F.col("again") * F.col(copy)).alias(at))
+    placed = rows.join(each, rid).withColumn(part, F.least(F.floor(F.col(at) / F.lit(most) * parts), F.lit(parts - 1)).cast("int"))
+    return placed.repartitionById(parts, F.col(part)).sortWithinPartitions(at, rid, copy).select(*docs.columns)

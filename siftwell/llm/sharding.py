@@ -8,8 +8,9 @@ pre-aggregation; only buckets that are too large at that depth go another round.
 
 Edge cases: null text has 0 bytes; a null id is an id of its own; a document larger than the
 limit becomes a shard alone (oversize = true), since nothing smaller exists; repeated rows are
-spread over shards like any others; an empty table gives an empty result; extra columns are
-carried by ``extendible_shards`` untouched, names beginning with ``shard`` are overwritten.
+spread over shards like any others (which of them goes where hangs on their row numbers, so on how
+the table is split into tasks); an empty table gives an empty result; extra columns are written by
+``write_shards`` untouched, but for one named shard_id, which is overwritten.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 BITS, STEP, MOST = 60, 10, 120
 
@@ -77,10 +78,15 @@ def assign_shards(rows: DataFrame, max_bytes: int) -> DataFrame:
     return out
 
 
+def sharded_rows(docs: DataFrame, max_bytes: int) -> DataFrame:
+    """rid, doc_id, n_bytes, shard_id, depth, shard_bytes, shard_docs, oversize; rid: the row's number in its scan."""
+    rows = written(addressed(docs), "shard-rows")
+    return rows.select("rid", "doc_id", "n_bytes").join(assign_shards(rows, max_bytes), "rid")
+
+
 def shard_table(docs: DataFrame, max_bytes: int) -> DataFrame:
     """doc_id, n_bytes, shard_id, depth, shard_bytes, shard_docs, oversize; one row per input row."""
-    rows = written(addressed(docs), "shard-rows")
-    return rows.select("rid", "doc_id", "n_bytes").join(assign_shards(rows, max_bytes), "rid").drop("rid")
+    return sharded_rows(docs, max_bytes).drop("rid")
 
 
 def directory(shards: DataFrame) -> DataFrame:
@@ -89,6 +95,10 @@ def directory(shards: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int) -> None:
-    """Write documents partitioned by shard (doc_id must be unique here)."""
-    ids = shard_table(docs, max_bytes).select("doc_id", "shard_id")
-    docs.drop("shard_id").join(ids, "doc_id").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """Write documents, each row once, in a folder per shard. docs: a table as it is read, whose rows keep their numbers.
+
+    A column of docs named shard_id is overwritten.
+    """
+    rid = fresh(docs, "shard_row")
+    ids = sharded_rows(docs, max_bytes).select(F.col("rid").alias(rid), "shard_id")
+    docs.drop("shard_id").withColumn(rid, F.monotonically_increasing_id()).join(ids, rid).drop(rid).repartition("shard_id").write.partitionBy("shard_id").parquet(path)

@@ -41,7 +41,25 @@ def test_mix(spark, odd, empty):
     assert {r.doc_id: r["size"] for r in got}[5] == 30000 and {r.doc_id: r["size"] for r in got}[2] == 0
     assert sorted(map(str, got)) == sorted(map(str, mixing.weighted_fair_mix(df.repartition(3)).collect()))
     assert mixing.weighted_fair_mix(empty).count() == 0
-    assert mixing.mixed_stream(df).count() == sum(r.copies for r in got)
+    stream = mixing.mixed_stream(df)
+    want = {}
+    for r in got:
+        if r.copies:
+            want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    assert stream.columns == df.columns and mixing.mixed_stream(empty).count() == 0
+    seen = [r.doc_id for r in stream.collect()]
+    assert {i: seen.count(i) for i in set(seen)} == want
+    # the order is that of the finish times, whatever the number of ranges
+    finish = sorted((r.finish + k * r.source_size / r.target, r.doc_id or 0) for r in got for k in range(r.copies))
+    mixing.PART_BYTES, kept = 20_000, mixing.PART_BYTES
+    try:
+        ids, at = [r.doc_id or 0 for r in mixing.mixed_stream(df).collect()], 0
+        for f in sorted({f for f, _ in finish}):
+            same = sorted(i for g, i in finish if g == f)
+            assert sorted(ids[at : at + len(same)]) == same
+            at += len(same)
+    finally:
+        mixing.PART_BYTES = kept
 
 
 def test_mix_targets(spark):
@@ -88,6 +106,20 @@ def test_shards(spark, odd, empty):
     assert len(many) == 900 and max(sums.values()) <= 100
 
 
+def test_write_shards(spark, tmp_path, empty):
+    rows = [(1, "one", "en", "a"), (1, "another text", "en", "a"), (None, "no id", "en", "b"), (None, None, None, None), (2, "", "en", "a"), (2, "", "en", "a")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    sharding.write_shards(docs, f"{tmp_path}/shards", 12)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, ((r.doc_id, r.text, r.lang, r.source) for r in back.collect()))) == sorted(map(str, rows))
+    sizes = {r.shard_id: r.n for r in back.groupBy("shard_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    assert max(x or 0 for x in sizes.values()) <= 12
+    table = sharding.directory(sharding.shard_table(docs, 12)).collect()
+    assert len(table) == len(sizes) and all(r.shard_bytes == (sizes[r.shard_id] or 0) and not r.oversize for r in table) and sum(r.shard_docs for r in table) == 6
+    sharding.write_shards(empty, f"{tmp_path}/none", 12)
+
+
 def shingles(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
