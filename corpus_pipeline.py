@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as
 Parquet into the shared folder and reads it back as the next stage's documents. All stages but
 the last return the columns of documents.
+
+Rows are told apart by their number in the stage's scan of docs, not by doc_id: rows with a null
+or a repeated id are documents of their own in every stage. docs must therefore be a table as it
+is read (whose scan numbers its rows alike each time), which it is as each stage's result is written.
+
+Edge cases, in every stage: an empty table gives an empty result; null texts are documents without
+words; columns beyond those of documents are carried along, whatever their names. Language ID
+rejects texts that are null or have no letter; toxicity keeps them; near duplicates keep them all;
+the mix never takes documents without words; packing gives each its end id.
 """
 
 from __future__ import annotations
@@ -12,38 +21,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import langid, mixing, neardup, packing, toxicity
-from siftwell.llm.common import written
+from siftwell.llm.common import fresh, written
 
 #: A document is rejected as of no language if it has no letters, or if its best language has
 #: less than this share of its letters.
 LEAST_SHARE = 0.35
+#: Near duplicates share this percentage of their five-word shingles at least.
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
-    found = langid.identify(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    kept = {c: fresh(docs, c) for c in docs.columns if c.lower() in ("lang_pred", "score")}  # names that the operator gives its results
+    found = langid.identify(docs.withColumnsRenamed(kept), langid.train(docs))
+    rows = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    return rows.select([F.col(kept.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go."""
+    name = fresh(docs, "toxicity_score")
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "toxicity_score").where(F.col("toxicity_score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # rows that repeat an id are copies to the stage as well: one of them stays
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each class of near duplicates stays, the first in the table."""
+    row = fresh(docs, "near_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    found = neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), NEAR_PERCENT)
+    gone = found.where("not kept").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: rows repeat up to three times."""
-    taken = mixing.weighted_fair_mix(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(docs.columns)
+    """Each document as often as the mix takes it, up to three times, in the order of virtual finish time."""
+    return mixing.mixed_stream(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
