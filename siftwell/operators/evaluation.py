@@ -104,11 +104,16 @@ def at_k(ranked: DataFrame, targets: DataFrame, ks=(3, 5, 10)) -> DataFrame:
 
 def sorted_index(df: DataFrame, keys: list[str], value: str, places: dict[str, tuple[float, int]]) -> DataFrame:
     """Order statistics without interpolation: name -> (quantile, cap): the element at
-    min(int(q * n), n - 1) of the sorted values, q 0.5 giving the upper median."""
+    min(int(q * n), n - 1) of the sorted values, q 0.5 giving the upper median.
+
+    Equal values are counted first, so a key's window holds its distinct values, not its rows.
+    """
+    counts = df.select(*keys, value).groupBy(*keys, value).agg(F.count("*").alias("k"))
     w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    upto = F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("k").over(w))
     at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == at(q), F.col(value))).alias(name) for name, (q, _) in places.items()])
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(name) for name, (q, _) in places.items()])
 
 
 def bootstrap(per_enc: DataFrame, keys: list[str], value: str, rounds: int, seed: int = 20260916, confidence: float = 0.95) -> DataFrame:

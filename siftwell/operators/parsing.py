@@ -5,11 +5,18 @@ Every parser turns (keys, text) into rows (keys, pos, ..., tier); tier counts ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Patterns of the tiers.
 INFUSION = r"(?iuU)^\s*[\d.,/]+\s*(?:mg|g|ml|mcg|UI|U)\s+di\s+([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ\s\-]*?)\s*(?:\*|\s+in\s+\d|$)"
 NAME_THEN_DOSE = r"(?uU)^\s*([^\d:]+?)\s*(?=\d)"
@@ -115,36 +122,192 @@ def headings(df: DataFrame, text: str = "text", pattern: str = r"(?m)^([A-ZÀ-Ý
     return df.select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("heading")).groupBy("heading").agg(F.count("*").alias("n"))
 
 
+# What is no condition, headings that stick to a fragment, measures and dates, hints of negation and doubt.
+NARRATIVE = r"(?iuU)^(si ricovera|ricovero|si esegue|esegue|eseguit|effettuat|in data|viene |veniva |prosegue|riferisce|si segnala|come da|nella norma|paziente di|anamnesi|terapia|indicazione)"
+STUCK_HEADING = r"(?iuU)^(fattori di rischio|comorbidit[aà]|interventi pregressi|anamnesi\s*\w*|diagnosi|allergie e intolleranze|apr|apf|terapia domiciliare|motivo del ricovero)\s*:\s*"
+MEASURE_OR_DATE = r"\d{2}[./]\d{2}|\d+\s*(mg|ml|mm|cm|%|mmhg|bpm)"
+HINTS = ("nega", "non ", "assenza di", "esclude", "si esclude", "escluso", "negativo per", "no ", "mai ", "sospetta", "sospetto", "possibile", "probabile", "verosimile", "dubbio")
+
+
 def fragments(df: DataFrame, text: str = "text") -> DataFrame:
-    """Candidate fragments: cut at '.' and ';', 4 to 45 characters, without digits or measures."""
+    """Candidate conditions: cut at '.' and ';', headings and outer punctuation off, 4 to 45 characters,
+    no narrative, no measure or date. ``fragment`` is in lower case, ``form`` as it stands, ``pos`` its place."""
     keys = [c for c in df.columns if c != text]
-    f = df.select(*keys, F.explode(F.split(text, r"[.;]\s+")).alias("fragment")).withColumn("fragment", F.lower(F.trim("fragment")))
-    return f.where((F.length("fragment") > 3) & (F.length("fragment") <= 45) & ~F.col("fragment").rlike(r"\d"))
+    f = df.select(*keys, F.posexplode(F.split(text, r"[.;]\s+")).alias("pos", "form"))
+    f = f.withColumn("form", F.regexp_replace(F.regexp_replace(F.trim("form"), STUCK_HEADING, ""), r"^[ .,;:-]+|[ .,;:-]+$", ""))
+    f = f.where((F.length("form") > 3) & (F.length("form") <= 45) & ~F.col("form").rlike(NARRATIVE) & ~F.col("form").rlike(MEASURE_OR_DATE))
+    return f.select(*keys, "pos", "form", F.lower("form").alias("fragment"))
 
 
-def vocabulary(df: DataFrame, key: str, item: str, context: str, least: int = 3) -> DataFrame:
-    """(item, n, n_records, first contexts): counts and up to three contexts in order, over a threshold."""
-    return df.groupBy(item).agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_records"), F.array_join(F.slice(F.array_sort(F.collect_set(context)), 1, 3), "|").alias("contexts")).where(F.col("n") >= least)
+def hints(item: str) -> object:
+    """Hints of negation and doubt that a form begins with, sorted."""
+    return F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.col(item).startswith(h), F.lit(h.strip())) for h in HINTS]))), ",")
 
 
-def terminology_blocks(lines: DataFrame) -> DataFrame:
-    """(line_no, line) of a printed code list -> (code, level, title, included, excluded).
+def vocabulary(df: DataFrame, key: str, item: str, context: str, least: int = 3, place: tuple[str, ...] = ()) -> DataFrame:
+    """(item, n, n_records, contexts): counts, and the first three contexts in order of record and place, over a threshold.
 
-    A running last-value window carries the current code and block over its lines.
+    Only the three least contexts of each item are ever held: they are cut before they are gathered.
+    """
+    order = [key, *place, context]
+    first = df.select(item, *dict.fromkeys(order)).withColumn("_n", F.row_number().over(Window.partitionBy(item).orderBy(*order))).where("_n <= 3")
+    shown = first.groupBy(item).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", context))), lambda x: x[context]), "|").alias("contexts"))
+    counts = df.groupBy(item).agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_records")).where(F.col("n") >= least)
+    return counts.join(shown, item)
+
+
+def drug_vocabulary(items: DataFrame, confirmations: DataFrame) -> DataFrame:
+    """items(enc, field, name, principle or null) -> one row per brand root.
+
+    n and distinct records in each field, variants, the prevailing principle (most uses, ties by name) and
+    the outcome against confirmations(root, substances): not_found, not_verified without a principle,
+    confirmed if every longer word of it begins some substance, else discordant.
+    """
+    i = items.withColumn("root", tx.brand_root(F.col("name"))).where("root != ''")
+    by_field = i.groupBy("root", "field").agg(F.count("*").alias("n"), F.countDistinct("enc").alias("n_records"), F.collect_set("name").alias("names"))
+    g = by_field.groupBy("root").agg(
+        F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "field", "n", "n_records"))), "|").alias("fields"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), "|").alias("variants"))
+    uses = i.where("principle is not null").groupBy("root", "principle").agg(F.count("*").alias("k"))
+    best = uses.groupBy("root").agg(F.min(F.struct((-F.col("k")).alias("k"), "principle")).alias("b")).select("root", F.col("b.principle").alias("principle"))
+    j = g.join(best, "root", "left").join(confirmations.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set(F.lower("substances"))), " | ").alias("subs")), "root", "left")
+    words = F.filter(F.split(tx.normal_ascii(F.col("principle")), "[/ ]+"), lambda w: F.length(w) >= 5)
+    ok = (F.size(words) > 0) & F.forall(words, lambda w: F.contains("subs", F.substring(w, 1, 6)))
+    outcome = F.when(F.col("subs").isNull(), "not_found").when(F.col("principle").isNull(), "not_verified").when(ok, "confirmed").otherwise("discordant")
+    return j.select("root", "n", "fields", "variants", "principle", outcome.alias("outcome"))
+
+
+# Lines of a printed code list, and instructions to coders.
+CHAPTER = re.compile(r"^\s*Capitolo ([IVXL]+)\s*-\s*(.+?)\s*$")
+SERVICE = re.compile(r"^\s*(\d+\s+)?Centro Collaboratore|^\s*ICD-10 2019\s*$|^\s*$")
+ENTRY = (("subcategory", re.compile(r"^([A-Z]\d{2}\.\d)(?:†)?\s{2,}(\S.*)$")), ("category", re.compile(r"^ {1,3}([A-Z]\d{2})(?:†)?\s{2,}(\S.*)$")))
+BLOCK = (("included", re.compile(r"^\s*Incl\.\s*:\s*(.*)$")), ("excluded", re.compile(r"^\s*Escl\.\s*:\s*(.*)$")))
+BULLET = re.compile("^\\s*[\uf0b7\uf0a7\u26ac\u2022]\\s*(.*)$")
+BRACE = re.compile(r"^(.*?\S)\s{3,}(\S.*)$")
+REFERENCE = re.compile(r"\s*\([A-Z]\d{2}[^)]*\)\s*$")
+INSTRUCTION = re.compile(r"^(utilizzare|usare|codificare|questa categoria|questo capitolo|nota|include|comprende|per |se si desidera|i codici|il codice)\b", re.I)
+
+
+def printed_term(text: str) -> str:
+    """A term without references to codes, dagger, asterisk and outer punctuation."""
+    return re.sub(r"\s+", " ", re.sub("[†*]", "", REFERENCE.sub("", text))).strip(" ,;:.")
+
+
+class _CodeList:
+    """Reads the lines of one printed list. ``open`` holds bullets until their group ends, as a brace
+    printed beside any of them stands for all."""
+
+    def __init__(self):
+        self.entries, self.chapter, self.code = {}, None, None
+        self._reset(None)
+
+    def _reset(self, block):
+        self.block, self.prefix, self.note, self.open, self.brace = block, "", False, [], ""
+
+    def _add(self, text: str) -> None:
+        term = printed_term(text)
+        terms = self.entries[self.code][self.block]
+        if len(term) >= 3 and not INSTRUCTION.match(term) and term not in terms:
+            terms.append(term)
+
+    def _close(self) -> None:
+        for prefix, term in self.open:
+            self._add(" ".join(x for x in (prefix, term, self.brace) if x))
+        self.open, self.brace = [], ""
+
+    def line(self, line: str) -> None:
+        line = line.replace("\x0c", "")
+        chapter = CHAPTER.match(line)
+        if chapter:
+            self.chapter = " - ".join(chapter.groups())
+        if chapter or SERVICE.match(line):
+            return
+        for level, pattern in ENTRY:
+            m = pattern.match(line)
+            if m:
+                self._close()
+                self.code = m[1]
+                # an entry that is printed twice is one entry: its first title stays
+                self.entries.setdefault(m[1], {"level": level, "chapter": self.chapter, "title": printed_term(m[2]), "included": [], "excluded": []})
+                return self._reset(None)
+        if self.code is None:
+            return
+        for block, pattern in BLOCK:
+            m = pattern.match(line)
+            if m:
+                self._close()
+                self._reset(block)
+                return self._text(m[1].strip())
+        if self.block is None:
+            return
+        m = BULLET.match(line)
+        if m:
+            self.note = False
+            return self._bullet(m[1].strip())
+        self._close()
+        text = line.strip()
+        if INSTRUCTION.match(text):
+            self.note = True
+        elif not self.note and not text.startswith(("Incl", "Escl")):
+            self._text(text)
+
+    def _text(self, text: str) -> None:
+        """A term, or with a colon the prefix of the list that follows."""
+        if text.endswith(":"):
+            self.prefix = text[:-1].strip()
+        elif text:
+            self._add(text)
+
+    def _bullet(self, text: str) -> None:
+        if text.endswith(":"):  # a list within the list
+            self.prefix, self.open, self.brace = f"{self.prefix} {text[:-1]}".strip(), [], ""
+            return
+        m = BRACE.match(text)
+        if m:
+            text, self.brace = m[1].strip(), m[2].strip()
+        self.open.append((self.prefix, text))
+
+
+def code_list(lines) -> dict:
+    """code -> level, chapter, title, included, excluded, from a printed list's lines in order."""
+    reader = _CodeList()
+    for line in lines:
+        reader.line(line)
+    if reader.code is not None and reader.block:
+        reader._close()
+    return reader.entries
+
+
+def terminology_blocks(lines: DataFrame, book: str | None = None) -> DataFrame:
+    """(line_no, line) of printed code lists -> (code, level, chapter, title, included, excluded).
+
+    What a line means hangs on all lines before it, so a book is read in order by one task; with a
+    ``book`` column several books (or volumes) are read side by side.
     """
-    from pyspark.sql import Window
-
-    code = F.nullif(F.regexp_extract("line", r"^([A-Z]\d{2}(?:\.\d)?)\s+\S", 1), F.lit(""))
-    block = F.when(code.isNotNull(), "title").when(F.col("line").rlike(r"^\s*Incl"), "included").when(F.col("line").rlike(r"^\s*(Excl|Escl)"), "excluded")
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one printed book
-    rows = lines.withColumn("_c", code).withColumn("_b", block)
-    rows = rows.withColumn("code", F.last("_c", True).over(w)).withColumn("block", F.last("_b", True).over(w)).where("code is not null")
-    body = F.trim(F.regexp_replace(F.regexp_replace("line", r"^([A-Z]\d{2}(?:\.\d)?)\s+", ""), r"^\s*(Incl|Excl|Escl)\w*\.?:?\s*|^\s*[-•]\s*", ""))
-    rows = rows.withColumn("body", body).where("body != ''")
-    pick = lambda b: F.array_sort(F.collect_list(F.when(F.col("block") == b, F.struct("line_no", "body"))))
-    g = rows.groupBy("code").agg(*[pick(b).alias(b) for b in ("title", "included", "excluded")])
-    bodies = lambda c: F.transform(c, lambda x: x["body"])
-    return g.select("code", F.when(F.contains("code", F.lit(".")), "subcategory").otherwise("category").alias("level"), F.array_join(bodies("title"), " ").alias("title"), bodies("included").alias("included"), bodies("excluded").alias("excluded"))
+    key = F.col(book) if book else F.lit("")
+    rows = lines.select(key.cast("string").alias("book"), "line_no", "line").repartition("book").sortWithinPartitions("book", "line_no")
+
+    def run(batches):
+        now, held = None, []
+
+        def flush():
+            got = code_list(held)
+            names = ("level", "chapter", "title", "included", "excluded")
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(got), pa.string()), pa.array(list(got), pa.string()), *[pa.array([e[n] for e in got.values()], k) for n, k in zip(names, kinds)]], names=["book", "code", *names])
+
+        for batch in batches:
+            for b, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if b != now:
+                    if held:
+                        yield flush()
+                    now, held = b, []
+                held.append(line or "")
+        if held:
+            yield flush()
+
+    out = rows.mapInArrow(run, "book string, code string, level string, chapter string, title string, included array<string>, excluded array<string>")
+    return out.withColumnRenamed("book", book) if book else out.drop("book")
 
 
 def term_index(terms: DataFrame, shortest: int = 4) -> DataFrame:

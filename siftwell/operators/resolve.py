@@ -114,25 +114,36 @@ def last_wins(rows: DataFrame, key: str, value: str, place: str) -> DataFrame:
     return rows.groupBy(F.lower(key).alias(key)).agg(F.max_by(value, place).alias(value))
 
 
-def trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
+def _grams(text: str):
     padded = F.concat(F.lit(" "), F.col(text), F.lit(" "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3))))
-    return df.select(key, F.explode(grams).alias("gram"))
+    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3)))
+
+
+def trigrams(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, F.explode(F.array_distinct(_grams(text))).alias("gram"))
 
 
 def trigram_best(names: DataFrame, terms: DataFrame, least: float = 0.35, shortest: int = 6) -> DataFrame:
     """(name, term, score): the most alike term by Jaccard of trigrams; ties to the smaller term.
 
-    An inverted join on trigrams, exact; pairs whose numbers of trigrams cannot reach the
-    threshold are dropped before the count.
+    An inverted join on trigrams with prefix filtering, exact: two sets of a and b trigrams can only reach
+    the threshold with ceil(least * a) in common, so one of the a - ceil(least * a) + 1 rarest of either is
+    shared. Only those are joined, a common trigram hardly ever, and pairs are then compared on whole sets.
     """
     a = names.select("name").distinct().where(F.length("name") >= shortest)
     b = terms.select("term").distinct().where(F.length("term") >= shortest)
-    ga, gb = trigrams(a, "name", "name"), trigrams(b, "term", "term")
-    na, nb = ga.groupBy("name").agg(F.count("*").alias("na")), gb.groupBy("term").agg(F.count("*").alias("nb"))
-    pairs = ga.join(na, "name").join(gb.join(nb, "term"), "gram").where((F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na")))
-    n = pairs.groupBy("name", "term", "na", "nb").agg(F.count("*").alias("k"))
-    scored = n.withColumn("score", F.col("k").cast("double") / (F.col("na") + F.col("nb") - F.col("k")).cast("double")).where(F.col("score") >= least)
+    sets = lambda df, c: df.select(c, F.array_distinct(_grams(c)).alias("g"))
+    sa, sb = sets(a, "name"), sets(b, "term")
+    freq = sa.select(F.explode("g").alias("gram")).union(sb.select(F.explode("g"))).groupBy("gram").agg(F.count("*").alias("f"))
+
+    def rare(df, c):
+        ranked = df.select(c, F.size("g").alias("n"), F.explode("g").alias("gram")).join(freq, "gram").groupBy(c, "n").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("x"))
+        keep = (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int")
+        return ranked.select(c, F.col("n").alias(f"n_{c}"), F.explode(F.slice("x", F.lit(1), keep)).alias("y")).select(c, f"n_{c}", F.col("y.gram").alias("gram"))
+
+    pairs = rare(sa, "name").join(rare(sb, "term"), "gram").where((F.col("n_name") >= least * F.col("n_term")) & (F.col("n_term") >= least * F.col("n_name"))).select("name", "term").distinct()
+    both = pairs.join(sa, "name").join(sb.withColumnRenamed("g", "h"), "term").select("name", "term", F.size(F.array_intersect("g", "h")).alias("k"), F.size("g").alias("na"), F.size("h").alias("nb"))
+    scored = both.withColumn("score", F.col("k").cast("double") / (F.col("na") + F.col("nb") - F.col("k")).cast("double")).where(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "term"))
     return scored.withColumn("_n", best).where("_n = 1").select("name", "term", "score")
 

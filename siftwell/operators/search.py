@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import small
+
 
 def search(table: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """(tier, code, name): 0 exact, 1 prefix, 2 contains; a row takes its best tier; 1 to 50 rows."""
@@ -21,23 +23,54 @@ def labelled(codes: DataFrame, labels: DataFrame, categories: DataFrame, length:
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, start, token): blank-separated tokens with exact 0-based offsets."""
-    t = df.select(key, F.posexplode(F.split(text, " ", -1)).alias("pos", "token"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("token") + 1).over(w), F.lit(0)).cast("int")
-    return t.select(key, "pos", start.alias("start"), "token")
+    """(key, pos, start, token): blank-separated tokens with exact 0-based offsets, made inside the text's own array."""
+    parts = df.select(key, F.split(text, " ", -1).alias("_t"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    # long texts: offsets of slices first, so that no array is copied once per token
+    size = 256
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(size)), lambda i: F.slice("_t", i + 1, F.lit(size)))
+    empty = F.array().cast("array<int>")
+    inner = F.transform(groups, lambda g: F.aggregate(g, F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+    heads = parts.select(key, "_t", inner.alias("_g"))
+    lead = F.aggregate("_g", F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+    starts = F.flatten(F.transform(F.arrays_zip(F.col("_g").alias("g"), F.col("_l").alias("l")), lambda x: F.transform(x["g"]["out"], lambda o: o + x["l"])))
+    t = heads.select(key, "_t", "_g", lead.alias("_l")).select(key, "_t", starts.alias("_s"))
+    return t.select(key, F.posexplode(F.arrays_zip(F.col("_s").alias("start"), F.col("_t").alias("token"))).alias("pos", "x")).select(key, "pos", "x.start", "x.token")
 
 
 def phrase_matches(df: DataFrame, key: str, text: str, phrases: DataFrame, n: int) -> DataFrame:
     """(key, pos, phrase): phrases of n tokens found by an equi-join on n-grams.
 
-    n-grams are built inside the text's own token array (split once, in a projection of its own):
-    nothing is shuffled before the join.
+    n-grams are built inside the text's own token array (split once, in a projection of its own), and
+    only where a token begins a phrase: nothing else is exploded or shuffled.
+    """
+    return phrase_matches_upto(df, key, text, phrases.select("phrase", F.lit("").alias("label")), n, n).select(key, "pos", "phrase")
+
+
+def phrase_matches_upto(df: DataFrame, key: str, text: str, phrases: DataFrame, longest: int = 6, shortest: int = 1) -> DataFrame:
+    """(key, pos, n, phrase, label): dictionary phrases of ``shortest`` to ``longest`` tokens at every place.
+
+    phrases: (phrase, label). First words of phrases are a small table where the dictionary is one.
     """
-    t = df.select(key, F.split(text, " ", -1).alias("_t")).where(F.size("_t") >= n)
-    gram = lambda i: F.concat_ws(" ", *[F.get("_t", i + k) for k in range(n)])
-    grams = t.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_t") - n), gram)).alias("pos", "phrase"))
-    return grams.join(phrases.select("phrase").distinct(), "phrase")
+    words = phrases.select("phrase", "label").distinct().withColumn("_n", F.size(F.split("phrase", " "))).where(F.col("_n").between(shortest, longest))
+    lengths = sorted(r[0] for r in words.select("_n").distinct().collect())  # at most ``longest`` numbers
+    t = df.select(key, F.split(text, " ", -1).alias("_t"))
+    if not lengths:
+        return words.join(t, F.lit(False)).select(key, F.lit(0).alias("pos"), F.col("_n").alias("n"), "phrase", "label")
+    first = words.select(F.element_at(F.split("phrase", " "), 1).alias("w")).distinct()
+    held = small(first, 20_000)
+    begins = None
+    if held is not first:
+        begins = F.array(*[F.lit(r.w) for r in held.collect()]) if held.count() <= 64 else None
+    gram = lambda i: F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.when(i + n <= F.size("_t"), F.array_join(F.slice("_t", i + 1, n), " ")))
+    places = F.transform(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: i)
+    if begins is not None:
+        places = F.filter(places, lambda i: F.array_contains(begins, F.get("_t", i)))
+        rows = t.select(key, "_t", F.explode(places).alias("pos"))
+    else:
+        rows = t.select(key, "_t", F.posexplode("_t").alias("pos", "w")).join(held, "w", "left_semi")
+    grams = rows.select(key, "pos", F.explode(F.array_compact(gram(F.col("pos")))).alias("phrase"))
+    return grams.join(words, "phrase").select(key, "pos", F.col("_n").alias("n"), "phrase", "label")
 
 
 def compare_runs(old: DataFrame, new: DataFrame, lower_is_better: tuple[str, ...] = ()) -> DataFrame:

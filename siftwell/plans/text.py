@@ -89,17 +89,21 @@ def brand_root(spark, sf):
     return v.table(spark, sf, "part").groupBy(tx.brand_root(t).alias("root")).agg(F.count("*").alias("n"))
 
 
-@register("normal_forms", r"select lang, cast(sum(length(trim(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9/ ]', ' ', 'g'), '\s+', ' ', 'g')))) as bigint) as n_ascii, count(*) as n from documents group by 1")
+@register("normal_forms", r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9/ ]', ' ', 'g'), '\s+', ' ', 'g'))) as form from documents")
 def normal_forms(spark, sf):
-    return v.table(spark, sf, "documents").groupBy("lang").agg(F.sum(F.length(tx.normal_ascii(F.col("text"))).cast("long")).alias("n_ascii"), F.count("*").alias("n"))
+    return v.table(spark, sf, "documents").select("doc_id", F.md5(tx.normal_ascii(F.col("text"))).alias("form"))
 
 
-FRAG = r"f as (select doc_id, source, lower(trim(unnest(regexp_split_to_array(text, '[.;]\s+')))) fragment from documents), g as (select * from f where length(fragment) > 3 and length(fragment) <= 45 and not regexp_matches(fragment, '\d'))"
+FRAG = r"""f as (select doc_id, source, unnest(regexp_split_to_array(text, '[.;]\s+')) raw, unnest(range(len(regexp_split_to_array(text, '[.;]\s+')))) pos from documents),
+g as (select doc_id, source, pos, form, lower(form) fragment from (select *, regexp_replace(trim(raw, ' '), '^[ .,;:-]+|[ .,;:-]+$', '', 'g') form from f) where length(form) > 3 and length(form) <= 45
+  and not regexp_matches(form, '^(?i)(si ricovera|ricovero|si esegue|esegue|eseguit|effettuat|in data|viene |veniva |prosegue|riferisce|si segnala|come da|nella norma|paziente di|anamnesi|terapia|indicazione)') and not regexp_matches(form, '\d{2}[./]\d{2}|\d+\s*(mg|ml|mm|cm|%|mmhg|bpm)'))"""
 
 
-@register("fragment_vocab", f"with {FRAG}, c as (select fragment, count(*) n, count(distinct doc_id) n_records, list_sort(list(distinct source))[1:3] s from g group by 1 having count(*) >= 3) select fragment, n, n_records, array_to_string(s, '|') as contexts from c")
+@register("fragment_vocab", f"with {FRAG}, r as (select *, row_number() over (partition by fragment order by doc_id, pos, form) k from g), c as (select fragment, count(*) n, count(distinct doc_id) n_records, string_agg(form, '|' order by k) filter (k <= 3) contexts from r group by 1 having count(*) >= 3) select fragment, n, n_records, contexts, case when starts_with(fragment, 'no ') then 'no' else '' end as hints from c")
 def fragment_vocab(spark, sf):
-    return pr.vocabulary(pr.fragments(v.table(spark, sf, "documents").select("doc_id", "source", "text")), "doc_id", "fragment", "source")
+    """Forms of three uses or more, their first three contexts in order, and the hints they begin with."""
+    f = pr.fragments(v.table(spark, sf, "documents").select("doc_id", "text"))
+    return pr.vocabulary(f, "doc_id", "fragment", "form", place=("pos",)).withColumn("hints", pr.hints("fragment"))
 
 
 @register("vocab_threshold", f"with {FRAG}, c as (select fragment, count(*) n from g group by 1) select n >= 3 as kept, count(*) as n_forms, cast(sum(n) as bigint) as n_uses, count(*) filter (regexp_matches(fragment, '^(no|not|non|sin|ohne) ')) as hints from c group by 1")
@@ -135,8 +139,8 @@ def drug_vocabulary(spark, sf):
 
 FORMS = """sub as (select distinct p_name form, 'S' || lpad((p_partkey % 40)::varchar, 2, '0') code from part where p_partkey % 37 = 0),
 bra as (select distinct 'br ' || p_name form, 'B' || substr(p_brand, length(p_brand), 1) code from part where p_partkey % 41 = 0),
-nam as (select distinct name from (select p_name name from part where p_partkey < 400 union all select p_name || ' sale' from part where p_partkey < 400 union all select 'br ' || split_part(p_name, ' ', 1) || ' ' || substr(split_part(p_name, ' ', 2), 1, 2) from part where p_partkey < 400
- union all select split_part(p_name, ' ', 1) from part where p_partkey < 400 union all select 'Br ' || p_name from part where p_partkey < 400 union all select split_part(p_name, ' ', 1) || '/' || split_part(p_name, ' ', 2) from part where p_partkey < 400)),
+nam as (select distinct name from (select p_name name from part union all select p_name || ' sale' from part union all select 'br ' || split_part(p_name, ' ', 1) || ' ' || substr(split_part(p_name, ' ', 2), 1, 2) from part
+ union all select split_part(p_name, ' ', 1) from part union all select 'Br ' || p_name from part union all select split_part(p_name, ' ', 1) || '/' || split_part(p_name, ' ', 2) from part)),
 nf as (select name, lower(name) form from nam),
 hit as (select name, code, 0 place from nf join sub using (form)
  union select name, code, 2 from nf join bra using (form)
@@ -265,11 +269,13 @@ def proportion(spark, sf):
 
 @register("phrase_match_ngrams", r"""with d as (select doc_id, string_split(lower(text), ' ') w from documents), t as (select doc_id, unnest(range(len(w))) pos, unnest(w) w1 from d),
 n as (select *, lead(w1, 1) over o w2, lead(w1, 2) over o w3 from t window o as (partition by doc_id order by pos)),
-p as (select distinct string_split(lower(text), ' ')[1:3] ws from benchmark), q as (select array_to_string(ws, ' ') phrase from p)
+p as (select distinct unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i : i + 2], ' '))) phrase from (select string_split(lower(text), ' ') w from benchmark)), q as (select phrase from p)
 select phrase, count(*) as n, count(distinct doc_id) as n_docs from n join q on q.phrase = w1 || ' ' || w2 || ' ' || w3 group by 1""")
 def phrases(spark, sf):
     d = v.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
-    b = v.table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 3), " ").alias("phrase")).distinct()
+    w = F.split(F.lower("text"), " ", -1)  # every phrase of three words of every passage
+    grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    b = v.table(spark, sf, "benchmark").select(F.explode(grams).alias("phrase")).distinct()
     return se.phrase_matches(d, "doc_id", "text", b, 3).groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 

@@ -20,13 +20,19 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(raw: DataFrame) -> DataFrame:
-    """Sections (enc_oid, pos, tipo, data, report_oid, testo) of the first record of each id."""
+    """Sections (enc_oid, pos, tipo, data, report_oid, testo) of the first record of each id.
+
+    A section counts if its type is known and its text is a string that is not blank.
+    """
     from pyspark.sql import Window
 
-    p = raw.select("place", F.from_json("body", SCHEMA).alias("r")).select("place", "r.encOid", "r.referti")
-    first = p.withColumn("_n", F.row_number().over(Window.partitionBy("encOid").orderBy("place"))).where("_n = 1")
-    s = first.select(F.col("encOid").alias("enc_oid"), F.posexplode("referti").alias("pos", "x"))
-    return s.select("enc_oid", "pos", "x.tipo", "x.data", F.col("x.reportOid").alias("report_oid"), "x.testo").where(F.col("tipo").isin(*TYPES) & F.col("testo").isNotNull() & (F.trim("testo") != ""))
+    p = raw.select("place", F.parse_json("body").alias("v")).select("place", F.try_variant_get("v", "$.encOid", "bigint").alias("enc_oid"), F.try_variant_get("v", "$.referti", "array<variant>").alias("r"))
+    first = p.withColumn("_n", F.row_number().over(Window.partitionBy("enc_oid").orderBy("place"))).where("_n = 1")
+    s = first.select("enc_oid", F.posexplode("r").alias("pos", "x"))
+    get = lambda name, kind: F.try_variant_get("x", f"$.{name}", kind)
+    s = s.withColumn("kind_of", F.schema_of_variant(get("testo", "variant")))
+    s = s.select("enc_oid", "pos", get("tipo", "string").alias("tipo"), get("data", "string").alias("data"), get("reportOid", "bigint").alias("report_oid"), F.when(F.col("kind_of") == "STRING", get("testo", "string")).alias("testo"))
+    return s.where(F.col("tipo").isin(*TYPES) & F.col("testo").isNotNull() & (F.trim("testo") != ""))
 
 
 def anomalies(raw: DataFrame) -> DataFrame:
@@ -74,9 +80,9 @@ def labels(spark: SparkSession, path: str, code: str, name: str, sep: str = ",")
     return r.select(F.col(code).alias("code"), F.lower(F.col(name)).alias("label"))
 
 
-def states(spark: SparkSession, folder: str, agent: str, schema) -> DataFrame:
-    """State files of one agent (one JSON each; names with a leading underscore are service files)."""
-    return spark.read.option("multiLine", True).option("pathGlobFilter", "[!_]*.json").schema(schema).json(folder).withColumn("agent", F.lit(agent))
+def states(spark: SparkSession, folder: str, agent: str, schema, whole_files: bool = True) -> DataFrame:
+    """State files of one agent (names with a leading underscore are service files); whole_files: a file is one JSON, else JSON lines."""
+    return spark.read.option("multiLine", whole_files).option("pathGlobFilter", "[!_]*.json").schema(schema).json(folder).withColumn("agent", F.lit(agent))
 
 
 def flattened(states: DataFrame) -> DataFrame:
@@ -144,3 +150,19 @@ def write_triples(triples: DataFrame, path: str) -> None:
 
 def append_responses(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def write_turtle(rows: list[tuple], prefix: str, names: tuple[str, ...]) -> str:
+    """A fixed table as Turtle: a subject per row, a predicate per column, lists for repeated values; nulls are left out."""
+    out = [f"@prefix {prefix}: <urn:{prefix}#> ."]
+    for i, row in enumerate(rows, 1):
+        facts = [f'  {prefix}:{n} ' + ", ".join(f'"{x}"' for x in (v if isinstance(v, (tuple, list)) else (v,))) for n, v in zip(names, row) if v not in (None, ())]
+        out.append(f"{prefix}:r{i:04d} a {prefix}:Rule ;\n" + " ;\n".join(facts) + " .")
+    return "\n".join(out) + "\n"
+
+
+def write_manifest(spark: SparkSession, path: str, sources: list[dict]) -> None:
+    """What was fetched, one JSON line per source (name, path, sha256, rows, ...), as one file."""
+    import json
+
+    spark.createDataFrame([(json.dumps(s, sort_keys=True, ensure_ascii=False),) for s in sources], "value string").coalesce(1).write.mode("overwrite").text(path)
