@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from . import rules_data
 from .functions import text as tx
-from .operators import alignment, graph, intervals, parsing, ranking, resolve, rules, scopes, search
+from .operators import alignment, assembly, graph, intervals, parsing, ranking, resolve, rules, scopes, search
+from .store import written
 
 
 def mentions_of(sections: DataFrame, conditions: DataFrame, drugs: DataFrame, agent: str = "A") -> DataFrame:
@@ -30,14 +31,22 @@ def mentions_of(sections: DataFrame, conditions: DataFrame, drugs: DataFrame, ag
     prose = judged.select("enc", F.lit("history").alias("field"), F.lit(agent).alias("agent"), part[0].alias("kind"), "start", "end", F.nullif(part[1], F.lit("")).alias("code"), "state", "subject", F.lit("history").alias("moment"))
     parsed = []
     for kind, moment, parse, name in ((TYPES[1], "admission", parsing.admission_items, "name"), (TYPES[2], "discharge", parsing.discharge_items, "principle")):
-        items = parse(section(sections, kind).select(F.col("enc_oid").alias("enc"), F.col("testo").alias("text"))).where(f"{name} is not null")
+        texts = section(sections, kind).select(F.col("enc_oid").alias("enc"), F.col("testo").alias("text"))
+        items = assembly.placed_items(parse(texts).where(f"{name} is not null"), texts, "enc", name)  # repeated names share the first place
         codes = resolve.last_wins(drugs.withColumn("_p", F.col("code")), "form", "code", "_p")
         hit = items.withColumn("form", F.lower(name)).join(codes, "form", "left")
-        start = F.col("pos").cast("int")
-        parsed.append(hit.select("enc", F.lit(moment).alias("field"), F.lit("P").alias("agent"), F.lit("drug").alias("kind"), start.alias("start"), (start + 1).alias("end"), "code", F.lit("affirmed").alias("state"), F.lit("patient").alias("subject"), F.lit(moment).alias("moment")))
+        parsed.append(hit.select("enc", F.lit(moment).alias("field"), F.lit("P").alias("agent"), F.lit("drug").alias("kind"), "start", "end", "code", F.lit("affirmed").alias("state"), F.lit("patient").alias("subject"), F.lit(moment).alias("moment")))
     return prose.unionByName(parsed[0]).unionByName(parsed[1])
 
 
+def allergies_of(sections: DataFrame, drugs: DataFrame) -> DataFrame:
+    """(enc, kind, allergen, code) of the history sections; only active principles are coded."""
+    from .sources.records import TYPES, section
+
+    texts = section(sections, TYPES[0]).select(F.col("enc_oid").alias("enc"), F.col("testo").alias("text"))
+    return parsing.allergy_values(texts, drugs.groupBy("form").agg(F.min("code").alias("code")))
+
+
 def facts(mentions: DataFrame) -> DataFrame:
     """Only what is affirmed of the patient and coded acts."""
     return mentions.where("state = 'affirmed' and subject = 'patient' and code is not null")
@@ -48,7 +57,7 @@ def propose(spark: SparkSession, mentions: DataFrame, allergies: DataFrame, cand
     n = max(1, min(15, n))
     f = facts(mentions)
     cond = f.where("kind = 'condition'").select("enc", F.col("code").alias("cond")).distinct()
-    now = f.where("kind = 'drug' and moment != 'discharge'").select("enc", F.substring("code", 1, unit).alias("cls")).distinct()
+    now = f.where("kind = 'drug' and moment = 'admission'").select("enc", F.substring("code", 1, unit).alias("cls")).distinct()
     sides = now.withColumn("adm", F.lit(True)).select("enc", "adm", "cls")
     cases = mentions.select("enc").distinct().withColumn("fold", F.lit(0))  # one order of candidates for all
     cands = candidates.select(F.lit(0).alias("fold"), "cls").distinct()
@@ -61,6 +70,45 @@ def propose(spark: SparkSession, mentions: DataFrame, allergies: DataFrame, cand
     return rules.class_warnings(ranked.join(judged, ["enc", "cls"]), allergies)
 
 
+CITED, MEASURED = "cited indication", "measured co-occurrence"
+
+
+def text_to_proposals(spark: SparkSession, sections: DataFrame, conditions: DataFrame, drugs: DataFrame, candidates: DataFrame, n: int = 6, unit: int = 5) -> DataFrame:
+    """The whole chain, from records (enc_oid, tipo, testo) to ranked proposals with their grounds.
+
+    Columns of ``propose`` (enc, cls, score, rank, verdict, reasons, note), and strength of the best cited
+    indication, the fact that no text gives, grounding (a proposal without an indication rests on measured
+    co-occurrence only and says so), and notes on what the record lacks.
+    """
+    m = written(mentions_of(sections, conditions, drugs), "mentions")  # read by every step that follows
+    a = written(allergies_of(sections, drugs), "allergies")
+    proposals = propose(spark, m, a.where("code is not null").select("enc", F.col("code").alias("cls")).distinct(), candidates, n, unit)
+    f = facts(m)
+    cond = f.where("kind = 'condition'").select("enc", F.col("code").alias("cond")).distinct()
+    now = f.where("kind = 'drug' and moment = 'admission'").select("enc", F.lit(True).alias("adm"), F.substring("code", 1, unit).alias("cls")).distinct()
+    fired = ranking.fired_rules(rules_data.indications(spark), cond, now).join(F.broadcast(rules_data.indication_facts(spark)), "rule_id")
+    best = ranking.prefix_rows(proposals.select("enc", "cls"), "cls", "target").join(fired, ["enc", "target"])
+    best = best.groupBy("enc", "cls").agg(F.min(F.struct((-F.col("weight")).alias("w"), "rule_id", "strength", "missing")).alias("b")).select("enc", "cls", "b.strength", "b.missing")
+    out = proposals.join(best, ["enc", "cls"], "left")
+    grounding = F.when(F.col("strength").isNotNull(), CITED).otherwise(MEASURED)
+    return out.withColumn("grounding", grounding).join(missing_facts(sections, m, a), "enc", "left")
+
+
+def missing_facts(sections: DataFrame, mentions: DataFrame, allergies: DataFrame) -> DataFrame:
+    """(enc, lacking): what a record lacks, sorted and joined by ';'."""
+    from .sources.records import TYPES
+
+    encs = sections.select(F.col("enc_oid").alias("enc")).distinct()
+    coded = mentions.where("kind = 'condition' and code is not null and state = 'affirmed' and subject = 'patient'").select("enc").distinct()
+    no_condition = encs.join(coded, "enc", "left_anti").select("enc", F.lit("no coded condition").alias("x"))
+    uncoded = allergies.where(F.col("kind").startswith("principi") & F.col("code").isNull()).select("enc", F.concat(F.lit("allergy without a code: "), "allergen").alias("x"))
+    listed = sections.where((F.col("tipo") == TYPES[1]) & (F.trim("testo") != "")).select(F.col("enc_oid").alias("enc")).distinct()
+    parsed = mentions.where("moment = 'admission'").select("enc").distinct()
+    unread = listed.join(parsed, "enc", "left_anti").select("enc", F.lit("no drug read from the therapy").alias("x"))
+    every = no_condition.union(uncoded).union(unread)
+    return every.groupBy("enc").agg(F.array_join(F.array_sort(F.collect_set("x")), ";").alias("lacking"))
+
+
 def verify(spark: SparkSession, prescriptions: DataFrame, registry: DataFrame, conditions: DataFrame, therapy: DataFrame, allergies: DataFrame) -> DataFrame:
     """Verdict of each (enc, cls); a malformed or unknown code is rejected, never allowed."""
     ok = F.coalesce(F.col("cls").rlike(tx.ATC_CODE), F.lit(False))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import alignment, mentions, ranking, text
+from .plans import alignment, assembly, mentions, ranking, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (ranking, alignment, text, mentions):
+for _plan in (ranking, alignment, text, mentions, assembly):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -39,6 +39,11 @@ def group(t: Column, pattern: str, i: int) -> Column:
     return F.when(t.rlike(pattern), F.trim(F.regexp_extract(t, pattern, i)))
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once: later expressions that use them several times do not repeat them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def admission_items(df: DataFrame, text: str = "text") -> DataFrame:
     """Admission lists 'name: dose ; ...' -> rows with pos, item, name, tier."""
     keys = [c for c in df.columns if c != text]
@@ -46,16 +51,15 @@ def admission_items(df: DataFrame, text: str = "text") -> DataFrame:
     items = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(*keys, none.alias("_none"), F.posexplode(F.when(none, F.array(F.lit(""))).otherwise(F.split(text, ";"))).alias("pos", "item"))
     item = F.trim(F.regexp_replace("item", r"(?uU)^\s+|\s+$", ""))
     items = items.withColumn("item", item).where("_none or item != ''")
-    infusion = group(F.col("item"), INFUSION, 1)
-    colon = F.when(F.contains("item", F.lit(":")), F.trim(F.substring_index("item", ":", 1)))
     dosed = F.when(~tx.list_comma(F.col("item")), group(F.col("item"), NAME_THEN_DOSE, 1))
-    dosed = F.trim(F.regexp_replace(dosed, tx.TRAILING_FORM, ""))
+    items = settled(items, _infusion=group(F.col("item"), INFUSION, 1), _colon=F.when(F.contains("item", F.lit(":")), F.trim(F.substring_index("item", ":", 1))), _dosed=F.trim(F.regexp_replace(dosed, tx.TRAILING_FORM, "")))
     tier = (
-        F.when(F.col("_none"), "none_declared").when(F.col("item").rlike(tx.NOT_A_DRUG), "excluded_not_a_drug").when(infusion.isNotNull(), "2_infusion")
-        .when(tx.plausible_name(colon), "1_name_and_dosage").when(tx.plausible_name(dosed), "3_name_then_dose").otherwise("rejected")
+        F.when(F.col("_none"), "none_declared").when(F.col("item").rlike(tx.NOT_A_DRUG), "excluded_not_a_drug").when(F.col("_infusion").isNotNull(), "2_infusion")
+        .when(tx.plausible_name(F.col("_colon")), "1_name_and_dosage").when(tx.plausible_name(F.col("_dosed")), "3_name_then_dose").otherwise("rejected")
     )
-    name = F.when(F.col("tier") == "2_infusion", infusion).when(F.col("tier") == "1_name_and_dosage", colon).when(F.col("tier") == "3_name_then_dose", dosed)
-    return items.withColumn("tier", tier).withColumn("name", name).select(*keys, "pos", "item", "name", "tier")
+    items = settled(items, tier=tier)
+    name = F.when(F.col("tier") == "2_infusion", F.col("_infusion")).when(F.col("tier") == "1_name_and_dosage", F.col("_colon")).when(F.col("tier") == "3_name_then_dose", F.col("_dosed"))
+    return items.select(*keys, "pos", "item", name.alias("name"), "tier")
 
 
 def discharge_items(df: DataFrame, text: str = "text") -> DataFrame:
@@ -67,16 +71,13 @@ def discharge_items(df: DataFrame, text: str = "text") -> DataFrame:
     items = df.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1))).alias("pos", "item")).withColumn("item", F.trim(F.regexp_replace("item", r"(?uU)^\s+|\s+$", ""))).where("item != ''")
     it = F.col("item")
     tiers = (("2_with_synonym", SYNONYM, (2, 3, 4)), ("1_full", FULL, (0, 2, 3)), ("3_no_brand", NO_BRAND, (0, 0, 2)), ("4_no_dosage", NO_DOSAGE, (0, 2, 3)), ("5_nested_brand", NESTED, (0, 2, 3)), ("6_name_and_dose", NAME_AND_DOSE, (0, 0, 2)))
-    skip = F.when(it.rlike(tx.NOT_A_DRUG), "excluded_not_a_drug").when(F.trim(F.substring_index("item", "(", 1)).rlike(tx.PLACEHOLDER), "excluded_placeholder")
-    best = skip
-    principles = {}
-    for tier, pattern, _ in tiers:
-        name = group(it, pattern, 1)
-        if tier[0] == "6":
-            name = F.trim(F.regexp_replace(name, tx.TRAILING_FORM, ""))
-        principles[tier] = name
-        best = best.when(tx.plausible_name(name, DISCHARGE_WORDS), tier)
-    rows = items.withColumn("tier", best.otherwise("rejected"))
+    names = {f"_{tier[0]}": group(it, pattern, 1) for tier, pattern, _ in tiers}
+    names["_6"] = F.trim(F.regexp_replace(names["_6"], tx.TRAILING_FORM, ""))
+    items = settled(items, **names)
+    best = F.when(it.rlike(tx.NOT_A_DRUG), "excluded_not_a_drug").when(F.trim(F.substring_index("item", "(", 1)).rlike(tx.PLACEHOLDER), "excluded_placeholder")
+    for tier, _, _ in tiers:
+        best = best.when(tx.plausible_name(F.col(f"_{tier[0]}"), DISCHARGE_WORDS), tier)
+    rows = settled(items, tier=best.otherwise("rejected"))
 
     def part(k):
         out = F.lit(None).cast("string")
@@ -86,8 +87,8 @@ def discharge_items(df: DataFrame, text: str = "text") -> DataFrame:
         return out
 
     principle = F.lit(None).cast("string")
-    for tier, name in principles.items():
-        principle = F.when(F.col("tier") == tier, name).otherwise(principle)
+    for tier, _, _ in tiers:
+        principle = F.when(F.col("tier") == tier, F.col(f"_{tier[0]}")).otherwise(principle)
     return rows.select(*keys, "pos", "item", principle.alias("principle"), part(0).alias("synonym"), part(1).alias("brand"), part(2).alias("dosage"), "tier")
 
 

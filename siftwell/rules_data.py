@@ -61,3 +61,8 @@ def contraindications(spark):
     """Long form for rules.contra_reasons: one row per trigger; the shortest revoking prefix."""
     rows = [(i, t, x, v, min(r, key=len) if r else None, m) for i, (t, conds, v, r, m) in enumerate(CONTRAINDICATIONS, 1) for x in conds]
     return spark.createDataFrame(rows, "rule_id int, target string, trigger string, verdict string, revoked string, missing string")
+
+
+def indication_facts(spark):
+    """(rule_id, strength, missing): an indication's class and the fact that no text gives."""
+    return spark.createDataFrame([(i, s, m) for i, (_, _, s, _, m) in enumerate(INDICATIONS, 1)], "rule_id int, strength string, missing string")
