@@ -8,7 +8,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import shared_dir, written  # noqa: F401
+from .. import store
+from ..store import shared_dir  # noqa: F401
 
 
 def by_value(name: str) -> None:
@@ -19,6 +20,39 @@ def by_value(name: str) -> None:
 by_value(__name__)
 
 
+#: Arrow batches of what is written on the way: bytes and rows.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``store.written`` with small Arrow batches while it writes, so that several batches of texts or sets
+    fit beside each other in JVM and workers; the session's settings are then as before."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            conf.set(k, v)
+        return store.written(df, name)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def release() -> None:
+    """Give freed memory of this Python worker back to the system; workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

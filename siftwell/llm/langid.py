@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, held_out
+from .common import by_value, held_out, release
 
 by_value(__name__)
 
@@ -253,5 +253,6 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
                 best = np.where(some, prob.argmax(axis=1), len(m["langs"]))
                 value = np.where(some, np.clip(prob.max(axis=1), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs[best].tolist(), pa.string()), pa.array(value)], names=[*part.schema.names, "lang_pred", "score"])
+        release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, parallelism, written
+from .common import by_value, parallelism, release, written
 
 by_value(__name__)
 
@@ -174,6 +174,7 @@ def _digests(batches):
                 [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "sig"],
             )
+    release()
 
 
 def _explode(batches):
@@ -196,6 +197,7 @@ def _sets(batches):
                 [part.column(0), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
                 names=["node", "digest", "members"],
             )
+    release()
 
 
 def _collide(matches):
@@ -301,6 +303,8 @@ def _blocks(percent, matches):
                 rows.append((node, side, comp, sig, members))
         if rows:
             yield table(flush())
+        rows = []
+        release()
 
     return run
 
@@ -319,14 +323,15 @@ def unsettled(long: DataFrame, labels: DataFrame | None) -> DataFrame:
         return long.select("token", "node", F.col("node").alias("comp"), F.lit(True).alias("rest"))
     rows = long.join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
-    return rows.join(sizes.where("comps > 1"), "token").select("token", "node", "comp", (F.col("comp") != F.col("main")).alias("rest"))
+    # written, so that the join below has two plain sides and a hot list's rows can be split
+    return rows.join(written(sizes.where("comps > 1"), "list-sizes"), "token").select("token", "node", "comp", (F.col("comp") != F.col("main")).alias("rest"))
 
 
 def hub_pairs(rows: DataFrame) -> DataFrame:
     """Block pairs of each list's hubs (``HUBS`` classes of its rest, the same for all lists as far as they hold them) with its other classes."""
     turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("node"), "node"))
     hubs = rows.where("rest").withColumn("turn", turn).where(F.col("turn") <= HUBS).select("token", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-    pairs = rows.join(hubs, "token").where("comp != hub_comp").select("hub", "hub_comp", "node", "comp").distinct()
+    pairs = rows.join(written(hubs, "hubs"), "token").where("comp != hub_comp").select("hub", "hub_comp", "node", "comp").distinct()
     width = pairs.groupBy("hub", "hub_comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     ends = pairs.join(width.select("hub", "blocks"), "hub").select(F.col("hub").alias("token"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("p"), F.lit(0).alias("q"), "node", F.lit(1).alias("side"), "comp")
     heads = width.select(F.col("hub").alias("token"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), F.lit(0).alias("q"), F.col("hub").alias("node"), F.lit(0).alias("side"), F.col("hub_comp").alias("comp"))
@@ -336,7 +341,7 @@ def hub_pairs(rows: DataFrame) -> DataFrame:
 def block_pairs(rows: DataFrame) -> DataFrame:
     """Block pairs of each list's rest among itself, and with its largest component."""
     width = rows.groupBy("token").agg(F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("rb"), F.ceil(F.count_if(~F.col("rest")) / BLOCK).cast("int").alias("mb"))
-    dealt = rows.join(width, "token").withColumn("block", F.when(F.col("rest"), F.pmod(F.xxhash64("node"), F.col("rb"))).otherwise(F.col("rb") + F.pmod(F.xxhash64("node"), F.col("mb"))).cast("int"))
+    dealt = rows.join(written(width, "list-widths"), "token").withColumn("block", F.when(F.col("rest"), F.pmod(F.xxhash64("node"), F.col("rb"))).otherwise(F.col("rb") + F.pmod(F.xxhash64("node"), F.col("mb"))).cast("int"))
     last = F.when(F.col("rest"), F.col("rb") + F.col("mb") - 1).otherwise(F.col("rb") - 1)
     mates = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"), (F.col("block") > o).cast("int").alias("side")))
     return dealt.select("token", "node", "comp", F.explode(mates).alias("m")).select("token", "m.p", "m.q", "node", "m.side", "comp")
@@ -389,7 +394,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     long, labels = prefix.where(F.col("freq") > SHORT).select("token", "node"), None
     if long.limit(1).count():
         for turn in range(ROUNDS + 1):
-            rows = unsettled(long, labels)
+            rows = written(unsettled(long, labels), "unsettled")
             spread = block_pairs(rows) if turn == ROUNDS else hub_pairs(rows)
             links = links.union(written(compared(spread, sigs, full, percent, matches), "long-links"))
             labels = components(spark, links)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, held_out, worker_cache
+from .common import by_value, held_out, release
 
 by_value(__name__)
 
@@ -83,7 +83,7 @@ def windows(text: str | None) -> list[bytes]:
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     """content: text as ``windows`` gives it, the nearest last."""
-    params = zstandard.ZstdCompressionParameters(window_log=25, hash_log=22, chain_log=22, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0)
+    params = zstandard.ZstdCompressionParameters(window_log=25, hash_log=21, chain_log=21, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0)
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + _HEADING, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
@@ -204,17 +204,16 @@ def score(docs: DataFrame, model: dict | None, name: str = "toxicity") -> DataFr
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = (len(model["ordinary"]), model["toxic"][-64:], str(model["weights"]))
     at = docs.columns.index("text")
 
     def run(batches):
-        cache = worker_cache()
-        if cache.get("toxicity-key") != key:
-            cache["toxicity-key"], cache["toxicity"] = key, Scorer(shared.value)
-        scorer = cache["toxicity"]
+        scorer = None  # made for the task and gone with it: its tables are large
         for batch in batches:
+            scorer = scorer or Scorer(shared.value)
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(part.column(at).to_pylist()))], names=[*part.schema.names, name])
+        scorer = None
+        release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
