@@ -125,14 +125,21 @@ def apart(m):
     return iv.merge_groups(m, ["enc", "field"], "start", "end", ["id"])
 
 
-@register("longest_wins")
+@register("longest_wins", f"""with {M}, w as (select enc, field, list([{{'s': "start", 'e': "end", 'l': agent || id}}] order by "start" - "end", "start", agent || id, "end") x from men group by 1, 2),
+k as (select enc, unnest(list_reduce(x, lambda acc, y: case when len(list_filter(acc, lambda z: z.s < y[1].e and y[1].s < z.e)) > 0 then acc else list_concat(acc, y) end)) u from w)
+select enc, u.s // 86400000 as day, u.s as "start", u.e as "end", u.l as label from k""")
 def longest(spark, sf):
     m = apart(mentions(spark, sf).withColumn("label", F.concat("agent", F.col("id").cast("string"))))
     # the day of the start is shown only; spans run over midnight
     return iv.longest_wins(m, APART).select("enc", F.floor(F.col("start") / 86400000).alias("day"), "start", "end", "label")
 
 
-@register("gold_overlap_prf")
+@register("gold_overlap_prf", f"""with {M}, g as (select enc, field, list([{{'gs': "start", 'ge': "end", 'fs': null::bigint, 'fe': null::bigint}}] order by "start", "end") x from men where agent = 'A' group by 1, 2),
+f as (select enc, field, list({{'s': "start", 'e': "end"}} order by "start", "end") y from men where agent = 'B' group by 1, 2),
+m as (select list_reduce(list_concat([[{{'gs': null::bigint, 'ge': null::bigint, 'fs': null::bigint, 'fe': null::bigint}}]], x), lambda acc, z: list_concat(acc, list_transform(
+  [list_filter(coalesce(y, []), lambda q: q.s < z[1].ge and z[1].gs < q.e and len(list_filter(acc, lambda u: u.fs = q.s and u.fe = q.e)) = 0)[1]], lambda q: {{'gs': z[1].gs, 'ge': z[1].ge, 'fs': q.s, 'fe': q.e}}))) r from g left join f using (enc, field)),
+n as (select (select count(*) from men where agent = 'B') np, (select count(*) from men where agent = 'A') nt, (select count(*) from (select unnest(r) u from m) where u.fs is not null) nh)
+select np, nt, nh, round(nh::double / np, 6) as precision, round(nh::double / nt, 6) as recall, round(2 * nh::double / (np + nt), 6) as f1 from n""")
 def gold_prf(spark, sf):
     """Agent A as the gold standard for B: one-to-one greedy matches, then P, R and F1."""
     m = apart(mentions(spark, sf).where("agent in ('A', 'B')"))

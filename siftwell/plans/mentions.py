@@ -65,7 +65,12 @@ def windows(spark, sf):
     return sc.window_table(docs(spark, sf), "doc_id", "text").select("doc_id", "offset", F.length("piece").alias("n"))
 
 
-@register("safe_segments")
+@register("safe_segments", r"""with d as (select doc_id, text, string_split(text, '') ch, length(text) n from documents where length(text) > 0),
+c as (select doc_id, text, n, case when n > 1000 then list_filter(range(1, n + 1), lambda i: ch[i] = chr(10) or (ch[i] in ('.', ';', '!', '?') and i < n and ch[i + 1] in (' ', chr(10)) and not (i >= 2 and regexp_matches(ch[i - 1], '\p{L}') and (i < 3 or not regexp_matches(ch[i - 2], '\p{L}'))))) else [] end cuts from d),
+r as (select doc_id, text, n, list_reduce(list_concat([[0]], list_transform(cuts, lambda x: [x])), lambda acc, x: case when x[1] - acc[len(acc)] >= 1000 then list_concat(acc, x) else acc end) k from c),
+e as (select doc_id, text, case when k[len(k)] = n then k else list_concat(k, [n]) end k from r),
+p as (select doc_id, text, unnest(range(1, len(k))) i, k from e)
+select doc_id, k[i]::int as "offset", (k[i + 1] - k[i])::int as n from p where trim(substr(text, (k[i] + 1)::bigint, (k[i + 1] - k[i])::bigint), ' ' || chr(10) || chr(9) || chr(13)) <> ''""")
 def segments(spark, sf):
     return sc.segment_table(docs(spark, sf), "doc_id", "text").select("doc_id", "offset", F.length("piece").alias("n"))
 
