@@ -13,9 +13,10 @@ of that score (Cauchy-Schwarz). The best ``RERANK`` codes of a query are reranke
 it a least score; then every vector whose bound reaches that score is reranked too. So no neighbour
 is lost at any number of vectors: codes save work only where they are close enough to exclude rows.
 
-Queries meet codes in blocks, which hold the vectors too: blocks of codes are dealt to each block
-of queries by a key, and a task keeps only the best of each query, so neither scores nor pairs
-are written out.
+Queries go out in groups of a bounded size, each in two passes over the written codes, which are
+read where they lie and never shuffled. The first pass scans one block in ``SCOUT`` and gives every query
+the least score that its answers must reach; the second scans all blocks and gives out only what reaches
+it, so what is shuffled is in proportion to the queries, whatever the number of vectors or tasks.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have another
 length than most, take no part, nor do null ids; a query with fewer candidates than asked gets
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, parallelism, written
+from .common import by_value, written
 
 by_value(__name__)
 
 BOOKS, WORDS, BEAM, SAMPLE, ROUNDS, RERANK = 8, 256, 8, 12_000, 2, 200
-CODE_BLOCK, QUERY_BLOCK, QUERY_SLICE = 4096, 4096, 512
+#: Rows of a block, queries that are scored together, bytes of the queries of a group, and blocks of which one is scanned first.
+CODE_BLOCK, QUERY_SLICE, GROUP_BYTES, SCOUT = 4096, 512, 2 << 20, 16
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -172,31 +174,11 @@ def encoded(rows: DataFrame, books: np.ndarray) -> DataFrame:
     return written(rows.mapInArrow(run, "block long, ids binary, codes binary, fix binary, open binary, vs binary"), "codes")
 
 
-def _gather(batches):
-    """Queries sorted by block -> one row per block and batch run."""
-    key, ids, vs = None, [], []
-
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), pa.array([compact(np.stack(vs))], pa.binary())], names=["qb", "qids", "qv"])
-
-    for batch in batches:
-        m = matrix(batch.column(2)) if batch.num_rows else None
-        for i, (b, q) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            if b != key:
-                if ids:
-                    yield flush()
-                key, ids, vs = b, [], []
-            ids.append(q)
-            vs.append(m[i])
-    if ids:
-        yield flush()
-
-
 class Best:
     """The ``top`` best (query, id, score) of each of n queries, and the least score that still counts."""
 
-    def __init__(self, n: int, top: int):
-        self.top, self.least = top, np.full(n, -np.inf)
+    def __init__(self, n: int, top: int, least: np.ndarray | None = None):
+        self.top, self.least = top, np.full(n, -np.inf) if least is None else least.copy()
         self.q, self.i, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, q: np.ndarray, i: np.ndarray, s: np.ndarray) -> None:
@@ -207,7 +189,7 @@ class Best:
         keep = place < self.top
         self.q, self.i, self.s = q[keep], i[keep], s[keep]
         last = place == self.top - 1
-        self.least[q[last]] = s[last]
+        self.least[q[last]] = np.maximum(self.least[q[last]], s[last])
 
 
 def products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 15) -> np.ndarray:
@@ -246,7 +228,34 @@ def rerank_block(best: Best, at: np.ndarray, qids: np.ndarray, q: np.ndarray, id
     best.add(at[k], ids[rows[r]], products(q, x, k, rows[r]))
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 20, rerank: int = RERANK, books: np.ndarray | None = None) -> DataFrame:
+def scanned(codes: DataFrame, books, asked, top: int, rerank: int) -> DataFrame:
+    """query_id, vec_id, score: each task's best of every query, as far as they reach the least scores in asked. books, asked (ids, vectors, least scores or None): broadcast."""
+
+    def run(batches):
+        cb, (ids_q, vq, floor) = books.value, asked.value
+        m, _, d = cb.shape
+        best, tables = Best(len(ids_q), top, floor), {}
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            for ids, code, fix, left, vs in zip(*cols):
+                ids, c = np.frombuffer(ids, dtype=np.int64), np.frombuffer(code, dtype=np.uint8).reshape(-1, m)
+                x, left, fix = expanded(vs, len(ids), d), np.frombuffer(left, dtype=np.float64), np.frombuffer(fix, dtype=np.float32)[:, None]
+                for i in range(0, len(ids_q), QUERY_SLICE):
+                    part = slice(i, i + QUERY_SLICE)
+                    at = np.arange(len(ids_q))[part]
+                    if i not in tables:
+                        tables[i] = np.ascontiguousarray(np.einsum("mkd,qd->mkq", cb, vq[part].astype(np.float32), optimize=True))
+                    score = np.zeros((len(ids), len(at)), dtype=np.float32)
+                    for b in range(m):
+                        score += tables[i][b][c[:, b]]
+                    score *= fix
+                    rerank_block(best, at, ids_q[part], vq[part], ids, x, score, left, rerank)
+        yield pa.RecordBatch.from_arrays([pa.array(ids_q[best.q]), pa.array(best.i), pa.array(best.s)], names=["query_id", "vec_id", "score"])
+
+    return codes.select("ids", "codes", "fix", "open", "vs").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, top: int = 20, rerank: int = RERANK, books: np.ndarray | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score. vectors, queries: as from ``valid``; a query skips its own id."""
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -255,50 +264,26 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, rerank: int =
         books = train(vectors)
     if books is None:
         return spark.createDataFrame([], out)
-    queries = written(queries, "queries")
-    codes = encoded(vectors, books)
-    n_queries, n_codes, parts = queries.count(), codes.count(), parallelism(spark)
-    nq = max(1, -(-n_queries // QUERY_BLOCK))
-    salts = max(1, min(n_codes, -(-2 * parts // nq)))
-    qb = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qb"), "vec_id", "v")
-    qb = qb.repartition(parts, "qb").sortWithinPartitions("qb", "vec_id").mapInArrow(_gather, "qb int, qids binary, qv binary")
-    qb = qb.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = codes.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    met = dealt.join(qb, ["qb", "salt"]).select("qb", "salt", "ids", "codes", "fix", "open", "vs", "qids", "qv")
-    met = met.repartition(parts, "qb", "salt").sortWithinPartitions("qb", "salt")
+    codes, dims = encoded(vectors, books), books.shape[2]
+    size = max(1, group_bytes // (8 * dims))
+    groups = max(1, -(-queries.count() // size))
+    asked = written(queries.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), "queries")
     shared = spark.sparkContext.broadcast(books)
-
-    def scan(batches):
-        books = shared.value
-        m, _, d = books.shape
-        key, qids, qm, table, best = None, None, None, None, None
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.i), pa.array(best.s)], names=["query_id", "vec_id", "score"])
-
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(9)]
-            for qblock, salt, ids, code, fix, left, vs, q, qv in zip(*cols):
-                if key != (qblock, salt, q):
-                    if key is not None:
-                        yield flush()
-                    key, qids = (qblock, salt, q), np.frombuffer(q, dtype=np.int64)
-                    qm = expanded(qv, len(qids), d)
-                    table = np.ascontiguousarray(np.einsum("mkd,qd->mkq", books, qm.astype(np.float32), optimize=True))
-                    best = Best(len(qids), top)
-                ids, c = np.frombuffer(ids, dtype=np.int64), np.frombuffer(code, dtype=np.uint8).reshape(-1, m)
-                x, left = expanded(vs, len(ids), d), np.frombuffer(left, dtype=np.float64)
-                for i in range(0, len(qids), QUERY_SLICE):
-                    part = slice(i, i + QUERY_SLICE)
-                    at = np.arange(len(qids))[part]
-                    score = np.zeros((len(ids), len(at)), dtype=np.float32)
-                    for b in range(m):
-                        score += table[b][:, part][c[:, b]]
-                    score *= np.frombuffer(fix, dtype=np.float32)[:, None]
-                    rerank_block(best, at, qids[part], qm[part], ids, x, score, left, rerank)
-        if key is not None:
-            yield flush()
-
-    scored = met.mapInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    scouts = codes.where(F.pmod(F.xxhash64("block"), F.lit(SCOUT)) == 0)
+    found = None
+    for g in range(groups):
+        rows = asked.where(F.col("g") == g).select("vec_id", "v").orderBy("vec_id").collect()  # a group of queries
+        if not rows:
+            continue
+        qids, qv = np.array([r.vec_id for r in rows], dtype=np.int64), np.array([r.v for r in rows], dtype=np.float64)
+        first = spark.sparkContext.broadcast((qids, qv, None))
+        seen = scanned(scouts, shared, first, top, rerank).withColumn("rank", rank).where(F.col("rank") == top).select("query_id", "score").collect()  # one number a query at most
+        least = np.full(len(qids), -np.inf)
+        for r in seen:
+            least[np.searchsorted(qids, r.query_id)] = r.score
+        one = written(scanned(codes, shared, spark.sparkContext.broadcast((qids, qv, least)), top, rerank), "found")
+        found = one if found is None else found.union(one)
+    if found is None:
+        return spark.createDataFrame([], out)
+    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -68,3 +68,26 @@ def test_coarse_codes_lose_no_neighbour(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     want = brute(rows, range(0, 6000, 200), 20)
     assert got == {q: [i for i, _ in found] for q, found in want.items()}
+
+
+def test_equal_vectors_give_the_smallest_ids(spark):
+    rng = np.random.default_rng(8)
+    same = rng.standard_normal(12).round(3).tolist()
+    rows = [(i, same) for i in range(1000, 2000)] + [(i, rng.standard_normal(12).round(3).tolist()) for i in range(300)]
+    good = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5))
+    got = {}
+    for r in ann.search(good, good.where("vec_id in (1000, 1020, 1900)"), group_bytes=200).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i in range(1000, 2000) if i != q][:20] for q in (1000, 1020, 1900)}
+
+
+def test_query_settings_equal_brute_force(spark):
+    """Top 20 with the query's own settings, over several blocks, groups and scout passes."""
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((10_000, 24)).astype(np.float32).astype(float)
+    good = ann.valid(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6))
+    got = {}
+    for r in ann.search(good, good.where("vec_id % 100 = 0"), group_bytes=24 * 8 * 40).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(list(enumerate(x.tolist())), range(0, 10_000, 100), 20)
+    assert got == {q: [i for i, _ in found] for q, found in want.items()}
