@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell import api, rules_data
 from siftwell.operators import alignment as al
+from siftwell.operators import assembly as asm
 from siftwell.operators import evaluation as ev
 from siftwell.operators import intervals as iv
 from siftwell.operators import ranking as rk
@@ -88,8 +89,10 @@ def test_scopes():
 
 def test_segments_and_bio():
     text = "Uno due. Tre quattro cinque. Sei."
-    parts, lost = sc.segments(text, [(9, 12, "X")], 10)
-    assert [t for _, t, _ in parts] == ["Uno due. Tre quattro cinque. ", "Sei."] and lost == 0
+    parts, lost = sc.segments(text, [(9, 12, "X"), (25, 31, "Y")], 10)
+    assert [t for _, t, _ in parts] == ["Uno due. Tre quattro cinque.", " Sei."] and lost == 2 and parts[0][2] == [(9, 12, "X")]
+    assert sc.safe_cuts("Sig. R. Rossi; dott. B. qui! fine.\nSi") == [4, 14, 20, 28, 35]
+    assert sc.segments("corto. " * 3, [], 1000)[0] == [(0, "corto. " * 3, [])]
     spans = [(9, 20, "X")]
     assert sc.from_bio(text, sc.to_bio(text, spans)) == spans
     assert sc.from_bio("a b", ["I-X", "O"]) == [] and sc.occurrences("TVS e TVSostenuta", "TVS") == [(0, 3)]
@@ -111,10 +114,23 @@ def test_symbolic_ranking(spark):
     assert len(rules_data.INDICATIONS) == 27 and len(rules_data.CONTRAINDICATIONS) == 12
     cond = spark.createDataFrame([(1, "I50.9"), (2, "I48")], "enc int, cond string")
     sides = spark.createDataFrame([(2, True, "B01AC")], "enc int, adm boolean, cls string")
-    grid = spark.createDataFrame([(e, c) for e in (1, 2) for c in ("C09AA", "C07AB", "C03DA", "A10BK", "B01AA", "B01AF", "A02BC")], "enc int, cls string")
+    classes = ("C09AA", "C07AB", "C03DA", "A10BK", "B01AA", "B01AF", "A02BC")
+    grid = spark.createDataFrame([(e, c) for e in (1, 2) for c in classes], "enc int, cls string")
     got = {(r.enc, r.cls): r.score for r in rk.by_rules(grid, ind, cond, sides).collect()}
-    assert [got[1, c] for c in ("C09AA", "C07AB", "C03DA", "A10BK")] == [1.0] * 4 and got[1, "B01AF"] == 0
-    assert got[2, "B01AF"] > got[2, "B01AA"] and got[2, "A02BC"] == 0.6 and got[1, "A02BC"] == 0
+    assert [got[1, c] for c in ("C09AA", "C07AB", "C03DA", "A10BK")] == [1.0] * 4 and (1, "B01AF") not in got
+    assert got[2, "B01AF"] > got[2, "B01AA"] and got[2, "A02BC"] == 0.6 and (1, "A02BC") not in got
+    folds, cands = spark.createDataFrame([(1, 0), (2, 0)], "enc int, fold int"), spark.createDataFrame([(0, c) for c in classes], "fold int, cls string")
+    own = rk.by_rules_of_fold(cands, folds, ind, cond, sides)
+    assert {(r.enc, r.cls): r.score for r in own.collect()} == got
+    # the first of each order equal those of the whole grid
+    now = spark.createDataFrame([(1, "C07AB")], "enc int, cls string")
+    for k in (1, 3, 7):
+        top = {(r.enc, r.cls): r.rank for r in rk.first_k(rk.placed(rk.constant(cands)), folds, now, k, own).collect()}
+        want = {}
+        for e in (1, 2):
+            order = sorted((c for c in classes if (e, c) != (1, "C07AB")), key=lambda c: (-got.get((e, c), 0.0), c))
+            want |= {(e, c): i for i, c in enumerate(order[:k], 1)}
+        assert top == want
 
 
 def test_worked_example(spark):
@@ -202,6 +218,52 @@ def test_api(spark):
     assert api.statistics(m).count() == 2
 
 
+def test_ranks_without_the_grid(spark):
+    order = rk.placed(spark.createDataFrame([(0, c, float(s)) for c, s in zip("abcdef", (1, 5, 5, 2, 0, 9))], "fold int, cls string, score double"))
+    folds = spark.createDataFrame([(1, 0), (2, 0)], "enc int, fold int")
+    now = spark.createDataFrame([(1, "f"), (1, "c"), (2, "zz")], "enc int, cls string")
+    targets = spark.createDataFrame([(1, "a"), (1, "b"), (2, "e"), (2, "q")], "enc int, cls string")
+    assert {(r.enc, r.cls): r.rank for r in rk.ranks_of(targets, order, folds, now).collect()} == {(1, "b"): 1, (1, "a"): 3, (2, "e"): 6}
+
+
+def test_gold_and_conversion(spark):
+    texts = spark.createDataFrame([(1, "episodio di FA oggi, assenza di FA. TVS e TVSostenuta"), (2, "niente")], "enc long, text string")
+    a = [(1, "condition", "FA", "affirmed", "patient", None), (1, "condition", "FA", "negated", "patient", 2), (1, "condition", "TVS", "affirmed", "patient", None), (2, "condition", "FA", "affirmed", "patient", None), (3, "condition", "x", "affirmed", "patient", None), (1, "condition", "FA", "affirmed", "patient", 3)]
+    got = asm.gold_spans(spark.createDataFrame(a, "enc long, kind string, text string, state string, subject string, nth int"), texts).collect()
+    assert {(r.enc, r.start, r.quote, r.state) for r in got if r.problem is None} == {(1, 12, "FA", "affirmed"), (1, 32, "FA", "affirmed"), (1, 32, "FA", "negated"), (1, 36, "TVS", "affirmed")}
+    assert {r.problem for r in got if r.problem} == {"not in the text", "record absent", "too few occurrences"}
+
+
+def test_schemas_and_reports(spark, tmp_path):
+    raw = {"$defs": {"S": {"type": "object", "title": "S", "properties": {"a": {"type": "string", "default": "x"}}}}, "type": "object", "title": "T", "properties": {"one": {"$ref": "#/$defs/S"}, "many": {"type": "array", "items": {"$ref": "#/$defs/S"}, "maxItems": 60}}}
+    flat = asm.flat_schema(raw)
+    assert "$defs" not in flat and flat["required"] == ["one", "many"] and flat["properties"]["many"]["items"] == {"type": "object", "properties": {"a": {"type": "string"}}}
+    strict = asm.strict_schema(flat)
+    assert strict["additionalProperties"] is False and strict["properties"]["one"]["required"] == ["a"] and strict["properties"]["many"]["maxItems"] == 60
+    df = spark.createDataFrame([(1, "a", [1.5], {"k": True})], "id long, name string, xs array<double>, m map<string,boolean>")
+    js = asm.json_schema(df.schema)
+    assert js["properties"] == {"id": {"type": "integer"}, "name": {"type": "string"}, "xs": {"type": "array", "items": {"type": "number"}}, "m": {"type": "object", "additionalProperties": {"type": "boolean"}}}
+    assert asm.report(df.select("id", "name"), "two columns").splitlines() == ["two columns", "id  name", "--  ----", "1   a"]
+    rec.write_manifest(spark, str(tmp_path / "m"), [{"name": "x", "rows": 3}, {"name": "y", "rows": 4}])
+    assert [json.loads(r.value)["rows"] for r in spark.read.text(str(tmp_path / "m")).orderBy("value").collect()] == [3, 4]
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    r = registers.file_fingerprints(spark, str(tmp_path / "f.bin")).first()
+    assert r.length == 3 and r.sha256 == hashlib.sha256(b"abc").hexdigest()
+    with pytest.raises(ValueError):
+        asm.sampled(df.select("id"), "id", None, only=[1, 2])
+    assert asm.sampled(spark.range(100), "id", 10).count() == 10
+
+
+def test_state_files_without_service_files(spark, tmp_path):
+    for name, enc in (("7.json", 7), ("_registro.json", 9)):
+        (tmp_path / name).write_text(json.dumps({"enc": enc, "conditions": [{"start": 1, "code": "I10"}, {"start": None, "code": "I11"}], "drugs": []}, indent=1))
+    schema = "enc long, conditions array<struct<start:int,code:string>>, drugs array<struct<start:int,code:string>>"
+    got = rec.flattened(rec.states(spark, str(tmp_path), "A", schema)).collect()
+    assert [(r.enc, r.agent, r.kind, r.code) for r in got] == [(7, "A", "condition", "I10")]
+    (tmp_path / "gold.json").write_text(json.dumps({"7": {"condition": [["FA", "affirmed", "patient"], ["FA", "negated", "patient", "2"]]}}))
+    assert {(r.enc, r.text, r.state, r.nth) for r in rec.gold(spark, str(tmp_path / "gold.json")).collect()} == {(7, "FA", "affirmed", None), (7, "FA", "negated", 2)}
+
+
 def test_stream(spark, tmp_path):
     from siftwell.streaming import records as sr
 
