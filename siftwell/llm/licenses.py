@@ -18,60 +18,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import license_data
+
 CUT = r"[.!?]+[ \t\n\f\r]+|[\n\r]+"
 
-# Normalised licence sentences and their identifiers.
-SENTENCES = {
-    "released under the mit license": "MIT_REF",
-    "licensed under the mit license": "MIT_REF",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT_GRANT",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MIT_WARRANTY",
-    "licensed under the apache license version 2 0": "APACHE2_REF",
-    "licensed under the apache license version 2 0 the license": "APACHE2_REF",
-    "you may not use this file except in compliance with the license": "APACHE2_COMPLY",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0": "APACHE2_COPY",
-    "this work is licensed under the gnu general public license version 3": "GPL3_REF",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL3_GRANT",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPL_WARRANTY",
-    "licensed under cc by nc 4 0": "CC_BY_NC_REF",
-    "licensed under cc by 4 0": "CC_BY_REF",
-    "licensed under cc by sa 4 0": "CC_BY_SA_REF",
-    "this work is licensed under a creative commons attribution 4 0 international license": "CC_BY_REF",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSD_GRANT",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD_SOURCE",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD_BINARY",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_ENDORSE",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2_REF",
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ISC_GRANT",
-    "this is free and unencumbered software released into the public domain": "UNLICENSE",
-    "all rights reserved": "ALL_RIGHTS",
-}
+SENTENCES = license_data.sentences()
 
 # Longer forms of known sentences, for ``wrapped_scan`` only.
 LONGER = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
 }
 
-# Ordered rules (family, licence, identifiers in order). Within a family the first wins.
-RULES = (
-    ("mit", "MIT", ("MIT_GRANT", "MIT_NOTICE", "MIT_WARRANTY")),
-    ("mit", "MIT-partial", ("MIT_GRANT", "MIT_NOTICE")),
-    ("mit", "MIT-reference", ("MIT_REF",)),
-    ("apache", "Apache-2.0-header", ("APACHE2_REF", "APACHE2_COMPLY", "APACHE2_COPY")),
-    ("apache", "Apache-2.0-reference", ("APACHE2_REF",)),
-    ("gpl", "GPL-3.0-or-later", ("GPL3_GRANT", "GPL_WARRANTY")),
-    ("gpl", "GPL-3.0-reference", ("GPL3_REF",)),
-    ("bsd", "BSD-3-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE")),
-    ("bsd", "BSD-2-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY")),
-    ("cc", "CC-BY-NC-4.0", ("CC_BY_NC_REF",)),
-    ("cc", "CC-BY-SA-4.0", ("CC_BY_SA_REF",)),
-    ("cc", "CC-BY-4.0", ("CC_BY_REF",)),
-    ("mpl", "MPL-2.0", ("MPL2_REF",)),
-    ("isc", "ISC", ("ISC_GRANT",)),
-    ("unlicense", "Unlicense", ("UNLICENSE",)),
-    ("reserved", "all-rights-reserved", ("ALL_RIGHTS",)),
-)
+RULES = license_data.rules()
 
 
 def rule_pattern(ids) -> str:
@@ -84,7 +42,7 @@ def license_scan(docs: DataFrame, unwrap: bool = False) -> DataFrame:
     spark = docs.sparkSession
     text = F.regexp_replace("text", r"([^\n])\n([^\n])", "$1 $2") if unwrap else F.col("text")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
-    known = F.broadcast(spark.createDataFrame(list(SENTENCES.items()), "sentence string, sid string"))  # a fixed table of some 25 rows
+    known = F.broadcast(spark.createDataFrame(list(SENTENCES.items()), "sentence string, sid string"))  # a fixed table
     cuts = rows.select("rid", "doc_id", F.posexplode_outer(F.split("text", CUT)).alias("pos", "sentence"))
     cuts = cuts.select("rid", "doc_id", "pos", F.trim(F.lower(F.regexp_replace("sentence", "[^A-Za-z0-9]+", " "))).alias("sentence"))
     # a row of each document stays, so that documents without licence sentences stay too
@@ -108,7 +66,8 @@ def wrapped_scan(docs: DataFrame) -> DataFrame:
     table = SENTENCES | LONGER
     most = max(len(k.split()) for k in table)  # lines: each has a word at least
     firsts = sorted({k.split()[0] for k in table})
-    known = F.broadcast(spark.createDataFrame([(k, i, k.split()[0]) for k, i in table.items()], "known string, sid string, first string"))
+    head = lambda c: F.substring_index(c, " ", 3)  # every known sentence has three words at least
+    known = F.broadcast(spark.createDataFrame([(k, i, " ".join(k.split()[:3])) for k, i in table.items()], "known string, sid string, first string"))  # a fixed table
     whole = F.regexp_replace("text", r"\b([vV])\.[ \t\n\f\r]+(?=[0-9])", "$1 ")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", whole.alias("text"))
     cuts = rows.select("rid", "doc_id", F.posexplode_outer(F.split("text", r"[.!?]+[ \t\n\f\r]+")).alias("pos", "sentence"))
@@ -117,7 +76,7 @@ def wrapped_scan(docs: DataFrame) -> DataFrame:
     # a row of each document stays, so that documents without licence sentences stay too
     starts = lines.withColumn("places", places).where("size(places) > 0 or pos = 0 or pos is null").select("rid", "doc_id", "pos", "lines", F.explode_outer("places").alias("at"))
     joined = starts.withColumn("broken", F.array_join(F.slice("lines", F.col("at") + 1, most), "\n"))
-    joined = joined.select("rid", "doc_id", "pos", "at", "broken", F.translate("broken", "\n", " ").alias("plain"), F.substring_index(F.col("lines")[F.col("at")], " ", 1).alias("first"))
+    joined = joined.select("rid", "doc_id", "pos", "at", "broken", F.translate("broken", "\n", " ").alias("plain"), head(F.translate("broken", "\n", " ")).alias("first"))
     n = F.length("known")
     ends = F.startswith(F.col("plain"), F.col("known")) & ((F.length("plain") == n) | (F.substring(F.col("broken"), n + 1, F.lit(1)) == "\n"))
     hits = joined.join(known, (joined["first"] == known["first"]) & ends, "left").groupBy("rid", "pos", "at").agg(F.first("doc_id").alias("doc_id"), F.max_by("sid", F.length("known")).alias("sid"))

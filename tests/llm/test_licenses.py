@@ -1,8 +1,10 @@
 """Standard licence texts as they are wrapped in files, through the registered query."""
 
+import random
+import re
 import textwrap
 
-from siftwell.llm import queries
+from siftwell.llm import license_data, licenses, queries
 
 MIT = [
     "MIT License", "Copyright (c) 2024 Some One",
@@ -33,6 +35,10 @@ MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
  * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
 
 
+AGPL = [x.replace("GNU General", "GNU Affero General") for x in GPL]
+LGPL = [x.replace("This program", "This library").replace("software:", "software;").replace("GNU General", "GNU Lesser General").replace("Foundation, either version 3", "Foundation; either version 2.1") for x in GPL]
+
+
 def wrapped(parts, width=72, mark=""):
     return "\n".join(mark + line for part in parts for line in [*textwrap.wrap(part, width), ""])
 
@@ -41,10 +47,42 @@ def test_wrapped_texts(spark, tmp_path):
     cases = [
         (wrapped(MIT), "MIT"), (wrapped(MIT, 40, " * "), "MIT"), (wrapped(MIT[:4]), "MIT-partial"), (wrapped(BSD), "BSD-2-Clause"), (wrapped([*BSD, BSD3], 60, "// "), "BSD-3-Clause"),
         (wrapped(GPL, 65, "    "), "GPL-3.0-or-later"), (wrapped(ISC), "ISC"), (APACHE, "Apache-2.0-header"), (MPL, "MPL-2.0"), (wrapped(MIT).replace("\n", "\r\n"), "MIT"),
-        ("some words without an end\nAll rights reserved.\nmore words", "all-rights-reserved"), ("text\nReleased under the MIT License.\nAll rights reserved.", "MIT-reference,all-rights-reserved"),
+        ("some words without an end\nAll rights reserved.\nmore words", "all-rights-reserved"), ("SPDX-License-Identifier: Apache-2.0\ncode", "Apache-2.0"), ("This project is licensed under\nthe BSD 3-Clause License.", "BSD-3-Clause-reference"), (wrapped(AGPL, 70), "AGPL-3.0-or-later"), (wrapped(LGPL), "LGPL-2.1-or-later"), ("text\nReleased under the MIT License.\nAll rights reserved.", "MIT-reference,all-rights-reserved"),
         ("The work is\nnot all rights reserved here", ""), ("All rights reserved by us", ""), ("", ""), (None, ""),
     ]
     spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.op8_license_scan(spark, str(tmp_path)).collect()}
     assert {i: got[i].licenses for i in got} == {i: want for i, (_, want) in enumerate(cases)}
     assert got[0].sequence == "|MIT_GRANT||MIT_NOTICE||MIT_WARRANTY|" and got[0].n_sentences == 3
+
+
+def slow_scan(text):
+    """Known sentences by definition: at each line, the longest one that some number of lines makes whole."""
+    table = licenses.SENTENCES | licenses.LONGER
+    text = re.sub(r"\b([vV])\.[ \t\n\f\r]+(?=[0-9])", r"\1 ", text or "")
+    ids, most = [], max(len(k.split()) for k in table)
+    for sentence in re.split(r"[.!?]+[ \t\n\f\r]+", text):
+        lines = [x for x in (license_data.normal(y) for y in re.split(r"[\n\r]+", sentence)) if x]
+        for i in range(len(lines)):
+            known = [k for k in (" ".join(lines[i:j]) for j in range(i + 1, min(len(lines), i + most) + 1)) if k in table]
+            if known:
+                ids.append(table[max(known, key=len)])
+    names = {}
+    for family, name, want in licenses.RULES:
+        rest = iter(ids)
+        if family not in names and all(x in rest for x in want):
+            names[family] = name
+    return len(ids), "".join(f"|{x}|" for x in ids), ",".join(sorted(names.values()))
+
+
+def test_scan_equals_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    known = [t for _, t in license_data.TEXTS] + [s + v + n for _, names in license_data.NAMES for n in names for s in license_data.SUBJECTS[:3] for v in license_data.VERBS[:2]]
+    texts = []
+    for _ in range(150):
+        parts = [rng.choice([rng.choice(known), "Some other sentence of no known kind", "the above copyright notice"]) + rng.choice([".", ".", "", ":"]) for _ in range(rng.randrange(1, 9))]
+        texts.append(rng.choice([" ", "\n", "\n\n"]).join(wrapped([x], rng.choice([30, 60, 500]), rng.choice(["", "# "])) for x in parts))
+    texts.append("\n".join(["filler words here"] * 3_000 + ["Released under the MIT License."] + ["more filler"] * 3_000))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_sentences, r.sequence, r.licenses) for r in queries.op8_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {i: slow_scan(t) for i, t in enumerate(texts)}
