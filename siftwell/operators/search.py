@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import small
-
 
 def search(table: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """(tier, code, name): 0 exact, 1 prefix, 2 contains; a row takes its best tier; 1 to 50 rows."""
@@ -23,19 +21,16 @@ def labelled(codes: DataFrame, labels: DataFrame, categories: DataFrame, length:
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, start, token): blank-separated tokens with exact 0-based offsets, made inside the text's own array."""
+    """(key, pos, start, token): blank-separated tokens with exact 0-based offsets."""
     parts = df.select(key, F.split(text, " ", -1).alias("_t"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    # long texts: offsets of slices first, so that no array is copied once per token
-    size = 256
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(size)), lambda i: F.slice("_t", i + 1, F.lit(size)))
-    empty = F.array().cast("array<int>")
-    inner = F.transform(groups, lambda g: F.aggregate(g, F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
-    heads = parts.select(key, "_t", inner.alias("_g"))
-    lead = F.aggregate("_g", F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
-    starts = F.flatten(F.transform(F.arrays_zip(F.col("_g").alias("g"), F.col("_l").alias("l")), lambda x: F.transform(x["g"]["out"], lambda o: o + x["l"])))
-    t = heads.select(key, "_t", "_g", lead.alias("_l")).select(key, "_t", starts.alias("_s"))
-    return t.select(key, F.posexplode(F.arrays_zip(F.col("_s").alias("start"), F.col("_t").alias("token"))).alias("pos", "x")).select(key, "pos", "x.start", "x.token")
+    # offsets of slices first, then inside each slice by the length of what stands before
+    size = 32
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0)), F.lit(size)), lambda i: F.slice("_t", i + 1, F.lit(size)))
+    cut = parts.select(key, slices.alias("_g")).select(key, F.posexplode("_g").alias("_i", "_s"))
+    w = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice, not per token
+    placed = cut.withColumn("_at", F.coalesce(F.sum(F.length(F.array_join("_s", " ")) + 1).over(w), F.lit(0)).cast("int"))
+    before = F.transform("_s", lambda x, j: F.struct((F.col("_i") * size + j).alias("pos"), (F.col("_at") + F.when(j > 0, F.length(F.array_join(F.slice("_s", F.lit(1), j), " ")) + 1).otherwise(0)).alias("start"), x.alias("token")))
+    return placed.select(key, F.explode(before).alias("x")).select(key, "x.pos", "x.start", "x.token")
 
 
 def phrase_matches(df: DataFrame, key: str, text: str, phrases: DataFrame, n: int) -> DataFrame:
@@ -57,19 +52,18 @@ def phrase_matches_upto(df: DataFrame, key: str, text: str, phrases: DataFrame,
     t = df.select(key, F.split(text, " ", -1).alias("_t"))
     if not lengths:
         return words.join(t, F.lit(False)).select(key, F.lit(0).alias("pos"), F.col("_n").alias("n"), "phrase", "label")
-    first = words.select(F.element_at(F.split("phrase", " "), 1).alias("w")).distinct()
-    held = small(first, 20_000)
-    begins = None
-    if held is not first:
-        begins = F.array(*[F.lit(r.w) for r in held.collect()]) if held.count() <= 64 else None
-    gram = lambda i: F.transform(F.array(*[F.lit(n) for n in lengths]), lambda n: F.when(i + n <= F.size("_t"), F.array_join(F.slice("_t", i + 1, n), " ")))
-    places = F.transform(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: i)
-    if begins is not None:
-        places = F.filter(places, lambda i: F.array_contains(begins, F.get("_t", i)))
-        rows = t.select(key, "_t", F.explode(places).alias("pos"))
-    else:
-        rows = t.select(key, "_t", F.posexplode("_t").alias("pos", "w")).join(held, "w", "left_semi")
-    grams = rows.select(key, "pos", F.explode(F.array_compact(gram(F.col("pos")))).alias("phrase"))
+    # n-grams are made inside the text's own array, so an exploded row carries its phrase only
+    begin = words.select(F.element_at(F.split("phrase", " "), 1).alias("w")).distinct().limit(65).collect()  # a few first words at most
+    few = F.array(*[F.lit(r.w) for r in begin]) if len(begin) <= 64 else None
+    places = F.sequence(F.lit(0), F.size("_t") - 1)
+    if few is not None:
+        places = F.filter(places, lambda i: F.array_contains(few, F.get("_t", i)))
+
+    def gram(n):
+        made = F.transform(places, lambda i: F.when(i + n <= F.size("_t"), F.struct(i.alias("pos"), F.concat_ws(" ", *[F.get("_t", i + k) for k in range(n)]).alias("phrase"))))
+        return F.array_compact(made)
+
+    grams = t.select(key, F.explode(F.concat(*[gram(n) for n in lengths])).alias("g")).select(key, "g.pos", "g.phrase")
     return grams.join(words, "phrase").select(key, "pos", F.col("_n").alias("n"), "phrase", "label")
 
 

@@ -75,11 +75,12 @@ def segments(spark, sf):
     return sc.segment_table(docs(spark, sf), "doc_id", "text").select("doc_id", "offset", F.length("piece").alias("n"))
 
 
-@register("token_offsets", "with t as (select doc_id, unnest(range(len(w))) pos, unnest(w) token from (select doc_id, string_split(text, ' ') w from documents)), o as (select *, coalesce(sum(length(token) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint \"start\" from t) select doc_id, count(*) as n, md5(string_agg(\"start\"::varchar || ':' || token, '|' order by pos)) as tokens from o group by 1")
+@register("token_offsets", "with t as (select doc_id, unnest(range(len(w))) pos, unnest(w) token from (select doc_id, string_split(text, ' ') w from documents)), o as (select *, coalesce(sum(length(token) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint \"start\" from t) select doc_id, count(*) as n, cast(sum(('0x' || substr(md5(pos::varchar || ':' || \"start\"::varchar || ':' || token), 1, 8))::bigint) as bigint) as digest from o group by 1")
 def token_offsets(spark, sf):
+    """Place, offset and token of every token, as a sum of hashes per document."""
     t = se.tokens(docs(spark, sf), "doc_id", "text")
-    each = F.array_sort(F.collect_list(F.struct("pos", F.concat(F.col("start").cast("string"), F.lit(":"), "token").alias("x"))))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(each, lambda e: e["x"]), "|")).alias("tokens"))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("pos").cast("string"), F.col("start").cast("string"), "token")), 1, 8), 16, 10).cast("long")
+    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(h).alias("digest"))
 
 
 @register("marker_scope_native", """with t as (select doc_id, unnest(range(len(w))) pos, unnest(w) tok from (select doc_id, string_split(lower(text), ' ') w from documents)),
