@@ -91,7 +91,7 @@ def test_segments_and_bio():
     text = "Uno due. Tre quattro cinque. Sei."
     parts, lost = sc.segments(text, [(9, 12, "X"), (25, 31, "Y")], 10)
     assert [t for _, t, _ in parts] == ["Uno due. Tre quattro cinque.", " Sei."] and lost == 2 and parts[0][2] == [(9, 12, "X")]
-    assert sc.safe_cuts("Sig. R. Rossi; dott. B. qui! fine.\nSi") == [4, 14, 20, 28, 35]
+    assert sc.safe_cuts("Sig. R. Rossi; dott. B. qui! fine.\nSi") == [4, 14, 20, 28, 34, 35]
     assert sc.segments("corto. " * 3, [], 1000)[0] == [(0, "corto. " * 3, [])]
     spans = [(9, 20, "X")]
     assert sc.from_bio(text, sc.to_bio(text, spans)) == spans
