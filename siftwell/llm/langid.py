@@ -5,8 +5,8 @@ network reads a text's UTF-8 bytes in windows of ``WINDOW`` positions, forwards
 and labels every position; a document's score for a language is the mean probability over all
 its positions that belong to letters. Whole texts are read.
 
-Bounds of the training sample: about ``MAX_WINDOWS`` windows of each language, taken at
-hashed places of at most ``MAX_DOCS`` documents of each language (picked by hash of the id).
+Bound of the training sample: about ``MAX_DOCS`` documents of each language, picked by hash of the id.
+Their texts are read whole, in windows that follow each other.
 Only documents with a language whose crc32(id) modulo 4 is not 2 are learned from.
 
 Gates and candidate use x / (1 + |x|) instead of the logistic function and tanh: the same
@@ -30,7 +30,7 @@ from .common import by_value, held_out, release
 
 by_value(__name__)
 
-HIDDEN, WINDOW, MAX_DOCS, MAX_WINDOWS, PER_DOC = 8, 48, 600, 2000, 4
+HIDDEN, WINDOW, MAX_DOCS = 8, 48, 150
 STEPS, BATCH, RATE = 260, 256, 0.02
 #: Windows computed together: their states fit in a core's cache.
 BLOCK = 4096
@@ -214,7 +214,7 @@ def predict(texts: list[bytes], p: dict) -> np.ndarray:
     return sums / np.maximum(counts, 1)[:, None]
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> dict | None:
+def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
     """Fit on a bounded sample of labelled documents; the model is {langs, p}."""
     usable = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     counts = {r.lang: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}  # languages, not rows
@@ -223,14 +223,15 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_windows: int = MAX_WIND
     langs = sorted(counts)
     share = F.lit(0.0)
     for x in langs:
-        share = F.when(F.col("lang") == x, min(1.0, 1.2 * max_docs / counts[x])).otherwise(share)
+        share = F.when(F.col("lang") == x, min(1.0, max_docs / counts[x])).otherwise(share)
     picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    spot = lambda k: (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1).cast("int")
-    wins = picked.select("lang", "doc_id", F.explode(F.array(*[F.substring(F.col("text"), spot(k), F.lit(WINDOW)) for k in range(PER_DOC)])).alias("w"))
-    rows = wins.orderBy(F.xxhash64("doc_id", "w"), "w").limit(int(1.5 * max_windows * len(langs))).collect()
-    texts = [r.w.encode()[:WINDOW] for r in rows]
-    label = np.array([langs.index(r.lang) for r in rows], dtype=np.int64)
-    return {"langs": langs, "p": fit(texts, label, len(langs))}
+    texts, label = [], []
+    for r in sorted(picked.collect(), key=lambda r: (r.doc_id, r.text)):  # about max_docs of each language
+        raw = r.text.encode("utf-8", "surrogatepass")
+        for i in range(0, len(raw), WINDOW):
+            texts.append(raw[i : i + WINDOW])
+            label.append(langs.index(r.lang))
+    return {"langs": langs, "p": fit(texts, np.array(label, dtype=np.int64), len(langs))}
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
