@@ -60,8 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, placed in sequences."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents, placed in sequences; written here, so that texts reach the workers in small batches."""
+    return written(packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")), "pipeline-packing")
 
 
 STAGES = [

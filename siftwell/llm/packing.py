@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import by_value
-from .tokens import text_slices, worker_encoder
+from .common import by_value, release
+from .tokens import Encoder, text_slices
 
 by_value(__name__)
 
@@ -93,7 +93,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, cell: int = CE
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = worker_encoder(tokenizer, shared.value, blank_leads)
+        encoder = None  # made for the task and gone with it: what it remembers is large, and workers outlive their tasks
         task = TaskContext.get().partitionId()
         held, sizes, owners, count, number = [], [], [], 0, 0
 
@@ -108,18 +108,23 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, cell: int = CE
                 cols.append(pa.array([ids[a : a + k].astype(np.int64).tolist() for a, k in zip(at.tolist(), p[:, 2].tolist())], pa.list_(pa.int64())))
             return pa.RecordBatch.from_arrays(cols, names=names)
 
-        for batch in batches:
-            for part in text_slices(batch, 1):
-                ids, n = encoder.encode(part.column(1))
-                ends = np.cumsum(n)
-                held.append(np.insert(ids, ends, np.uint32(end)))
-                sizes.append(n + 1)
-                owners.append(part.column(0).cast(pa.int64()))
-                count += len(ids) + len(n)
-                if count >= cell:
-                    yield flush(number)
-                    held, sizes, owners, count, number = [], [], [], 0, number + 1
-        if count:
-            yield flush(number)
+        try:
+            for batch in batches:
+                encoder = encoder or Encoder(shared.value, blank_leads)
+                for part in text_slices(batch, 1):
+                    ids, n = encoder.encode(part.column(1))
+                    ends = np.cumsum(n)
+                    held.append(np.insert(ids, ends, np.uint32(end)))
+                    sizes.append(n + 1)
+                    owners.append(part.column(0).cast(pa.int64()))
+                    count += len(ids) + len(n)
+                    if count >= cell:
+                        yield flush(number)
+                        held, sizes, owners, count, number = [], [], [], 0, number + 1
+            if count:
+                yield flush(number)
+        finally:  # also where the reader stops early
+            encoder = batch = part = ids = held = sizes = owners = None
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

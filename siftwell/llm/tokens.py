@@ -47,7 +47,6 @@ def byte_characters() -> list[str]:
 class Encoder:
     def __init__(self, definition: str, blank_leads: bool):
         """definition: the tokenizer file's text. blank_leads: a word's token holds the blank before it."""
-        import json
         import os
         import re
 
@@ -57,7 +56,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.blank_leads, self.known, self.older = blank_leads, {}, {}
         self.table = byte_characters()
-        self.odd = "|".join(re.escape(x) for x in [CUT, *(t["content"] for t in json.loads(definition)["added_tokens"])])
+        self.odd = "|".join(re.escape(x) for x in [CUT, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.word = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
     def _raw(self, pieces: list[str]) -> list[bytes]:

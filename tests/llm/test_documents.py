@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import shutil
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -457,6 +459,25 @@ def test_packing(spark, odd, empty):
     assert packing.packed(empty, path).count() == 0
 
 
+def test_packing_leaves_no_encoder_in_workers(spark, tmp_path):
+    path = shutil.copy(public_tokenizers.path("word_bpe_49k.json"), tmp_path)  # a path of its own: other tests' encoders don't count
+    df = spark.createDataFrame([(i, f"some words of text {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+
+    def kept(batches):
+        import gc
+        import sys
+
+        for _ in batches:
+            pass
+        others = {id(v) for k, v in sys.__dict__.get("_siftwell_cache", {}).items() if k[1] != path}
+        n = sum(type(x).__name__ == "Encoder" and type(x).__module__ == tokens.__name__ and id(x) not in others for x in gc.get_objects())
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    assert len(packing.packed(df, path).collect()) >= 400
+    packing.packed(df, path).limit(1).collect()  # a reader that stops early
+    assert [r.n for r in df.mapInArrow(kept, "n long").collect()] == [0] * 4
+
+
 def test_pack_balances_costs():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 1500, 900)

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as cp
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,21 @@ def test_mix_takes_rows_without_ids(spark, world):
     assert abs(n - total) < 80 and {r.doc_id for r in got.collect()} >= {None, 7}
 
 
+def test_packing_reads_small_batches(spark, tmp_path, monkeypatch):
+    spark.range(0, 5000, 1, 1).selectExpr("id doc_id", "'some words' text").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(docs, tokenizer):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+        return docs.mapInArrow(run, "n long")
+
+    monkeypatch.setattr(cp.packing, "packed", sizes)
+    got = [r.n for r in cp.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()]
+    assert sum(got) == 5000 and max(got) <= 2000
+
+
 def test_run_is_its_stages(spark, world):
     path, docs, rows = world
     packed = cp.run(spark, path)
