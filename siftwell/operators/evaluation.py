@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEED, FOLDS, LEVELS = 20260915, 5, (1, 3, 4, 5, 7)
+#: Of a bootstrap: tasks that share its rounds, and draws that are made at a time.
+BLOCKS, SLICE = 125, 100_000
 
 
 def hash32(text: Column) -> Column:
@@ -116,18 +128,63 @@ def sorted_index(df: DataFrame, keys: list[str], value: str, places: dict[str, t
     return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(name) for name, (q, _) in places.items()])
 
 
+def packed(per_enc: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, enc, n, total, data): the values in order of keys and enc, as doubles of some 10,000 rows; enc is a run's first.
+
+    Range partitions and the batches within them do not overlap, so runs sorted by enc are a key's values in order: no task numbers all encounters.
+    """
+    rows = written(per_enc.select(*keys, "enc", F.col(value).cast("double").alias("value")), "values")
+    schema = rows.select(*keys, "enc").schema.add("n", "long").add("total", "double").add("data", "binary")
+
+    def run(batches):
+        for batch in batches:
+            ids = list(zip(*[batch.column(j).to_pylist() for j in range(len(keys))])) if keys else [()] * batch.num_rows
+            starts = [i for i, k in enumerate(ids) if not i or k != ids[i - 1]]
+            values = batch.column(len(keys) + 1).to_numpy(zero_copy_only=False)
+            runs = [values[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]
+            heads = [batch.column(j).take(pa.array(starts, pa.int64())) for j in range(len(keys) + 1)]
+            yield pa.RecordBatch.from_arrays([*heads, pa.array([len(x) for x in runs], pa.int64()), pa.array([float(x.sum()) for x in runs], pa.float64()), pa.array([x.tobytes() for x in runs], pa.binary())], names=schema.names)
+
+    return written(rows.repartitionByRange(*keys, "enc").sortWithinPartitions(*keys, "enc").mapInArrow(run, schema), "runs")
+
+
+def hashes(seed: int, turn: int, start: int, stop: int) -> np.ndarray:
+    """``hash32`` of 'seed:turn:i' for i from start to stop."""
+    head, sha = f"{seed}:{turn}:".encode(), hashlib.sha256
+    return np.frombuffer(b"".join([sha(b"%b%d" % (head, i)).digest()[:4] for i in range(start, stop)]), ">u4").astype(np.int64)
+
+
 def bootstrap(per_enc: DataFrame, keys: list[str], value: str, rounds: int, seed: int = 20260916, confidence: float = 0.95) -> DataFrame:
     """Mean and empirical interval of resampled means; draws are hashes, so reruns agree.
 
-    Per-encounter values are computed once and numbered; a draw is a number, so a round costs
-    one equi-join. keys: e.g. level; each key's encounters are numbered apart.
+    keys: e.g. level; each key's encounters are numbered apart, by enc. Draws never leave their task: a task makes some
+    rounds of all keys from the packed values (8 bytes each), and a draw's hash, which is the same for every key, is made once.
     """
-    w = Window.partitionBy(*keys)
-    rows = per_enc.select(*keys, "enc", value).withColumn("i", F.row_number().over(w.orderBy("enc")) - 1).withColumn("n", F.count("*").over(w))
-    draws = rows.select(*keys, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    pick = hash32(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), F.col("i").cast("string"))) % F.col("n")
-    means = draws.select(*keys, "round", pick.alias("i")).join(rows.select(*keys, "i", value), [*keys, "i"]).groupBy(*keys, "round").agg(F.avg(value).alias("m"))
+    runs = packed(per_enc, keys, value)
+    each = -(-rounds // BLOCKS)
+    dealt = runs.select(*keys, "enc", "data", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // each))).alias("block")).repartition(BLOCKS, "block")
+    schema = runs.select(*keys).schema.add("round", "integer").add("m", "double")
+
+    def draw(table):
+        first = table.column("block")[0].as_py() * each
+        parts: dict[tuple, list] = {}
+        for k, enc, data in sorted(zip(zip(*[table.column(c).to_pylist() for c in keys]) if keys else [()] * table.num_rows, table.column("enc").to_pylist(), table.column("data").to_pylist()), key=lambda x: x[1]):
+            parts.setdefault(k, []).append(np.frombuffer(data))
+        values = {k: np.concatenate(x) for k, x in parts.items()}
+        most, out = max(map(len, values.values())), []
+        for turn in range(first, min(first + each, rounds)):
+            sums = dict.fromkeys(values, 0.0)
+            for at in range(0, most, SLICE):
+                h = hashes(seed, turn, at, min(at + SLICE, most))
+                for k, x in values.items():
+                    sums[k] += float(x[h[: max(0, len(x) - at)] % len(x)].sum())
+            out += [(*k, turn, sums[k] / len(x)) for k, x in values.items()]
+        cols = list(zip(*out))
+        kinds = [table.schema.field(c).type for c in keys] + [pa.int32(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=schema.names)
+
+    means = dealt.groupBy("block").applyInArrow(draw, schema)
     tail = (1 - confidence) / 2
     bounds = sorted_index(means, keys, "m", {"low": (tail, 0), "high": (1 - tail, 0)})
-    mean = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    mean = runs.groupBy(*keys).agg((F.sum("total") / F.sum("n").cast("double")).alias("mean"))
     return mean.join(bounds, keys).select(*keys, *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])

@@ -48,3 +48,15 @@ def test_intervals_rest_on_1000_rounds(spark, monkeypatch):
     for query, off in ((rp.bootstrap, 0.0), (rp.paired, 0.5)):
         got = query(spark, "").first()
         assert [got.mean, got.low, got.high] == pytest.approx([x - off for x in want], abs=2e-6)
+
+
+def test_resampling_deals_no_draws(spark):
+    """Draws stay in their task: the plan explodes no encounters into rounds, and keys of different sizes keep their own numbers."""
+    rows = spark.range(25_000).selectExpr("cast(1 as int) level", "id * 7 enc", "(id * id % 97) / 97.0D f1").union(spark.sql("select 3, 5L, 0.25D union all select 3, 4L, 0.75D"))
+    out = rp.ev.bootstrap(rows, ["level"], "f1", 200)
+    assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.level: (r.mean, r.low, r.high) for r in out.collect()}
+    for level, x in ((1, [(i * i % 97) / 97 for i in range(25_000)]), (3, [0.75, 0.25])):
+        draws = (int(hashlib.sha256(f"20260916:{t}:{i}".encode()).hexdigest()[:8], 16) % len(x) for t in range(200) for i in range(len(x)))
+        means = sorted(sum(x[next(draws)] for _ in x) / len(x) for _ in range(200))
+        assert got[level] == pytest.approx((sum(x) / len(x), means[5], means[195]), abs=2e-6)
