@@ -227,10 +227,12 @@ def printed_code_list(spark, sf):
     ]
     lines[1] = F.concat(F.lit("         Incl.: forma "), k, F.lit(":"))
     s = v.table(spark, sf, "supplier")
-    rows = s.select("s_nationkey", "s_suppkey", F.posexplode(F.array(*lines)).alias("i", "line")).select(F.col("s_nationkey").alias("book"), (F.col("s_suppkey") * 100 + F.col("i")).alias("line_no"), "line")
-    heads = s.select(F.col("s_nationkey").alias("book")).distinct().select("book", F.lit(-1).cast("long").alias("line_no"), F.lit("   Capitolo IX - Nome del volume  ").alias("line"))
-    got = pr.terminology_blocks(heads.union(rows), "book")
-    return got.select("book", "code", "level", "chapter", "title", F.array_join("included", "|").alias("included"), F.array_join("excluded", "|").alias("excluded"))
+    # codes come round after 2,600 suppliers, and a list has each of its codes once: a book's next 2,600 are its next volume
+    volume = F.concat_ws("/", F.col("s_nationkey").cast("string"), F.floor(F.col("s_suppkey") / 2600).cast("string")).alias("volume")
+    rows = s.select(volume, "s_suppkey", F.posexplode(F.array(*lines)).alias("i", "line")).select("volume", (F.col("s_suppkey") * 100 + F.col("i")).alias("line_no"), "line")
+    heads = s.select(volume).distinct().select("volume", F.lit(-1).cast("long").alias("line_no"), F.lit("   Capitolo IX - Nome del volume  ").alias("line"))
+    got = pr.terminology_blocks(heads.union(rows), "volume")
+    return got.select(F.substring_index("volume", "/", 1).alias("book"), "code", "level", "chapter", "title", F.array_join("included", "|").alias("included"), F.array_join("excluded", "|").alias("excluded"))
 
 
 @register("principle_confirmation", """with s as (select distinct p_name form, 'S' || lpad((p_partkey % 40)::varchar, 2, '0') code from part where p_partkey % 3 = 0), n as (select distinct p_name name from part union select distinct split_part(p_name, ' ', 1) from part union select 'ignoto'),

@@ -6,6 +6,7 @@ import hashlib
 import pytest
 
 from siftwell.plans import alignment as ap
+from siftwell.plans import assembly as asp
 from siftwell.plans import ranking as rp
 from siftwell.plans import text as tp
 
@@ -60,3 +61,9 @@ def test_resampling_deals_no_draws(spark):
         draws = (int(hashlib.sha256(f"20260916:{t}:{i}".encode()).hexdigest()[:8], 16) % len(x) for t in range(200) for i in range(len(x)))
         means = sorted(sum(x[next(draws)] for _ in x) / len(x) for _ in range(200))
         assert got[level] == pytest.approx((sum(x) / len(x), means[5], means[195]), abs=2e-6)
+
+
+def test_codes_that_come_round_are_entries_of_their_own(spark, tmp_path):
+    spark.createDataFrame([(7, 1), (2607, 1), (2607 + 2600, 1), (7 + 26, 2)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted((r.book, r.code, r.title) for r in asp.printed_code_list(spark, str(tmp_path)).collect())
+    assert got == sorted([(b, c + end, f"{t} {k}") for b, c, k in (("1", "H00", 7), ("1", "H00", 2607), ("1", "H00", 5207), ("2", "H01", 33)) for end, t in (("", "Malattia"), (".0", "Sotto"))])
