@@ -6,6 +6,7 @@ Tables: mentions(enc, field, agent, kind, start, end, code, state, subject) as i
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ def three_way_split(ids: DataFrame, key: str, shares=(0.7, 0.15), seed: int = 20
     n = per.agg(F.sum("m").alias("n"))
     placed = rows.join(per.select("b", ahead.alias("ahead")), "b").crossJoin(n)  # one row
     rank = F.col("ahead") + F.row_number().over(Window.partitionBy("b").orderBy("h", key))
-    first, second = (F.floor(F.col("n") * s) for s in shares)
+    first, second = (F.floor(F.col("n") * F.lit(Decimal(str(s)))) for s in shares)  # as doubles, 0.7 of 90 is under 63
     part = F.when(F.col("rank") <= first, "train").when(F.col("rank") <= first + second, "dev").otherwise("test")
     return placed.withColumn("rank", rank).select(key, part.alias("part"))
 

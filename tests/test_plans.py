@@ -67,3 +67,9 @@ def test_codes_that_come_round_are_entries_of_their_own(spark, tmp_path):
     spark.createDataFrame([(7, 1), (2607, 1), (2607 + 2600, 1), (7 + 26, 2)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     got = sorted((r.book, r.code, r.title) for r in asp.printed_code_list(spark, str(tmp_path)).collect())
     assert got == sorted([(b, c + end, f"{t} {k}") for b, c, k in (("1", "H00", 7), ("1", "H00", 2607), ("1", "H00", 5207), ("2", "H01", 33)) for end, t in (("", "Malattia"), (".0", "Sotto"))])
+
+
+def test_shares_are_exact(spark):
+    """0.7 * 90 is 62.99... as doubles."""
+    got = asp.asm.three_way_split(spark.range(90), "id").groupBy("part").count().collect()
+    assert {r.part: r["count"] for r in got} == {"train": 63, "dev": 13, "test": 14}
