@@ -194,10 +194,13 @@ def replayed(answers: DataFrame, order: DataFrame, folds: DataFrame, k: int) ->
     """The first k of a stored answer list: (enc, answer array) -> (enc, cls, rank); classes are
     trimmed to the unit and upper-cased, those off the list dropped (``off_list`` counts them), repeats
     keep their first place, and what was not named follows in code order."""
-    first = named_classes(answers, order).join(folds, "enc").join(order.select("fold", "cls"), ["fold", "cls"], "left_semi")
-    own = first.select("enc", "cls", (F.lit(1.0) + 1.0 / (F.col("pos") + 1)).alias("score"))
-    none = folds.select("enc", F.lit("").alias("cls")).limit(0)
-    return first_k(order, folds, none, k, own).select("enc", "cls", "rank")
+    unit = order.agg(F.max(F.length("cls"))).first()[0] or 0  # one number
+    lists = order.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("place", "cls"))).alias("all")).select("fold", F.col("all.cls").alias("all"))
+    named = F.transform(F.coalesce("answer", F.array().cast("array<string>")), lambda c: F.upper(F.substring(F.trim(c), 1, unit)))
+    rows = folds.join(answers.select("enc", "answer"), "enc", "left").join(F.broadcast(lists), "fold")  # a row per fold, of the class vocabulary
+    first = rows.withColumn("named", F.array_intersect(named, "all"))
+    top = first.select("enc", F.posexplode(F.slice(F.concat("named", F.array_except("all", "named")), 1, k)).alias("pos", "cls"))
+    return top.select("enc", "cls", (F.col("pos") + 1).alias("rank"))
 
 
 def named_classes(answers: DataFrame, order: DataFrame) -> DataFrame:

@@ -73,3 +73,13 @@ def test_shares_are_exact(spark):
     """0.7 * 90 is 62.99... as doubles."""
     got = asp.asm.three_way_split(spark.range(90), "id").groupBy("part").count().collect()
     assert {r.part: r["count"] for r in got} == {"train": 63, "dev": 13, "test": 14}
+
+
+def test_replay_needs_no_pairs(spark):
+    folds = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "enc long, fold int")
+    order = rp.rk.placed(rp.rk.constant(spark.createDataFrame([(0, c) for c in ("A", "B", "C", "D")] + [(1, "C"), (1, "B")], "fold int, cls string")))
+    answers = spark.createDataFrame([(1, ["zz", " c9", "b", "C", None]), (3, ["a"])], "enc long, answer array<string>")
+    out = rp.rk.replayed(answers, order, folds, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number() windowspecdefinition(enc" not in plan and "LeftAnti" not in plan
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "A", 3), (1, "B", 2), (1, "C", 1), (2, "A", 1), (2, "B", 2), (2, "C", 3), (3, "B", 1), (3, "C", 2)]
