@@ -7,8 +7,16 @@ a fold are all counts less the fold's own, so one aggregation serves all folds.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WEIGHTS = {"I": 1.0, "IIa": 0.6, "IIb": 0.3}
 
@@ -182,6 +190,95 @@ def by_hybrid(parts: DataFrame, rule_weight: float = 0.5) -> DataFrame:
     return parts.select("enc", "cls", (F.col("base") + F.col("pmi") + rule_weight * F.col("rules")).alias("score"))
 
 
+#: Rows of a fold's PMI table up to which it goes to every task: the square of the vocabulary, not the encounters.
+TABLE = 500_000
+
+
+def hybrid_first_k(base: DataFrame, rules: DataFrame, conditions: DataFrame, sides: DataFrame, folds: DataFrame, k: int, weights=(0.5,)) -> DataFrame:
+    """(weight, enc, cls, score, rank): the first k of the hybrid for each rule weight, without current classes.
+
+    Nearly every candidate has a PMI with some fact of an encounter, so pairs would be the product of both. Facts are
+    one array of an encounter instead, and its candidates are scored inside its row, by tables of the class vocabulary. Where
+    those are too large for a task (``TABLE``), pairs are joined as in ``hybrid_parts``.
+    """
+    spark, enc = base.sparkSession, folds.schema["enc"].dataType
+    pairs = pmi(conditions, sides, folds)
+    rows = pairs.limit(TABLE + 1).collect()
+    scores = base.select("fold", "cls", "score").limit(TABLE + 1).collect()
+    if max(len(rows), len(scores)) > TABLE:
+        parts, out = hybrid_parts(base, rules, conditions, sides, folds), None
+        order = placed(base)
+        for w in weights:
+            one = first_k(order, folds, before(sides), k, by_hybrid(parts, w)).select(F.lit(float(w)).alias("weight"), "enc", "cls", "score", "rank")
+            out = one if out is None else out.union(one)
+        return out
+    score = spark.sparkContext.broadcast(_Hybrid([tuple(r) for r in scores], [tuple(r) for r in rows], [(r.rule_id, r.target, r.weight, r.kind, r.trigger) for r in rules.collect()], k, weights))
+    facts = folds.select("enc", "fold", F.lit("").alias("fact"))
+    facts = facts.union(before(sides).select("enc", F.lit(None), F.concat(F.lit("T:"), "cls"))).union(conditions.select("enc", F.lit(None), F.concat(F.lit("D:"), "cond")))
+    each = facts.groupBy("enc").agg(F.max("fold").alias("fold"), F.collect_list("fact").alias("facts")).where("fold is not null")
+    schema = T.StructType().add("weight", "double").add("enc", enc).add("cls", "string").add("score", "double").add("rank", "integer")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield score.value.first_k(batch.slice(at, 256), schema.names)
+
+    return each.mapInArrow(run, schema)
+
+
+class _Hybrid:
+    """Tables by fold over the candidates in code order: log base rate, best PMI of each feature, rules' targets."""
+
+    def __init__(self, base, pairs, rules, k, weights):
+        self.k, self.weights, self.folds = k, weights, {}
+        self.names = {x: i for i, x in enumerate(sorted({x for _, x, _, _ in pairs}), 1)}
+        self.targets = sorted({x[:3] for x in rules})
+        self.triggers = [(self.targets.index(x[:3]), "T:" if x[3] == "therapy" else "D:", x[4]) for x in rules if x[3] in ("therapy", "cond")]
+        for fold in {f for f, _, _ in base}:
+            mine = sorted((c.encode(), c, x) for f, c, x in base if f == fold)  # as Spark orders strings
+            at = {c: i for i, (_, c, _) in enumerate(mine)}
+            table = np.full((len(self.names) + 1, len(mine)), -np.inf)
+            for f, feat, c, x in pairs:
+                if f == fold and c in at:
+                    table[self.names[feat], at[c]] = x
+            below = np.array([[c.startswith(t) for _, c, _ in mine] for _, t, _ in self.targets], bool).reshape(len(self.targets), len(mine))
+            self.folds[fold] = [c for _, c, _ in mine], at, np.array([x for _, _, x in mine]), table, below
+
+    def first_k(self, batch, names):
+        enc, fold, facts = batch.columns
+        coded = facts.flatten().dictionary_encode()
+        words, codes, starts = coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.concatenate([[0], np.cumsum([len(x) for x in facts])[:-1]]).astype(np.int64)
+        ends = np.append(starts[1:], len(codes))
+        feature = np.array([self.names.get(x if x[:2] == "T:" else x[:5], 0) for x in words])
+        fires = np.zeros((len(words), len(self.targets)), bool)
+        for i, x in enumerate(words):
+            for j, kind, trigger in self.triggers:
+                fires[i, j] |= x[:2] == kind and x[2:].startswith(trigger)
+        weight = np.array([w for _, _, w in self.targets])
+        fired = np.logical_or.reduceat(fires[codes], starts, axis=0)
+        memo, out = {}, []
+        for row, (f, a, b) in enumerate(zip(fold.to_pylist(), starts, ends)):
+            if f not in self.folds:
+                continue
+            classes, at, base, table, below = self.folds[f]
+            best = table[feature[codes[a:b]]].max(axis=0)
+            key = f, fired[row].tobytes()
+            if key not in memo:
+                hit = below[fired[row]]
+                n, top = hit.sum(axis=0), (np.where(hit, weight[fired[row]][:, None], 0.0).max(axis=0) if len(hit) else 0.0)
+                memo[key] = np.where(n > 0, top + 0.01 * (n - 1), 0.0)
+            plain = base + np.where(np.isneginf(best), 0.0, best)
+            now = [at[words[c][2:]] for c in codes[a:b] if words[c][:2] == "T:" and words[c][2:] in at]
+            for w in self.weights:
+                score = plain + w * memo[key]
+                ranks = np.round(score, 9)
+                ranks[now] = -np.inf
+                first = np.argsort(-ranks, kind="stable")[: min(self.k, len(classes) - len(now))]
+                out += [(w, row, classes[i], score[i], n) for n, i in enumerate(first, 1)]
+        cols = list(zip(*out)) if out else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), enc.take(pa.array(cols[1], pa.int64())), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int32())], names=names)
+
+
 def ordered(scores: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     """(enc, cls, score, rank): descending score (to nine places, so that equal sums tie), then class; ``exclude`` (enc, cls) goes first."""
     if exclude is not None:

@@ -83,3 +83,21 @@ def test_replay_needs_no_pairs(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window [row_number() windowspecdefinition(enc" not in plan and "LeftAnti" not in plan
     assert sorted(tuple(r) for r in out.collect()) == [(1, "A", 3), (1, "B", 2), (1, "C", 1), (2, "A", 1), (2, "B", 2), (2, "C", 3), (3, "B", 1), (3, "C", 2)]
+
+
+def test_hybrid_in_rows_is_the_hybrid_of_pairs(spark, monkeypatch):
+    """What an encounter's row gives is what the join of all pairs gave, also where the tables are too large for a task."""
+    sides = [(e, adm, "CEPS"[(e * (7 if adm else 3) + j) % 4] + str((e + j * j) % 3)) for e in range(60) for adm in (True, False) for j in range(3)]
+    s = spark.createDataFrame(sorted({*sides, (99, False, "E1")}), "enc long, adm boolean, cls string")
+    f = s.select("enc").distinct().withColumn("fold", (rp.F.col("enc") % 5).cast("int"))
+    cond = spark.createDataFrame([(e, c) for e in range(60) for c in ("MBUx", f"N{e % 13:02d}")], "enc long, cond string")
+    rules, now = rp.v.rules(spark), rp.rk.before(s)
+    base = rp.rk.placed(rp.rk.base_rates(s, f, rp.rk.candidates(s, f)))
+    pairs = rp.rk.hybrid_parts(base, rules, cond, s, f)
+    top = lambda df: sorted((r.enc, r["rank"], r.cls, round(r.score, 9)) for r in df.collect())
+    for most in (rp.rk.TABLE, 0):
+        monkeypatch.setattr(rp.rk, "TABLE", most)
+        got = rp.rk.hybrid_first_k(base, rules, cond, s, f, 5, (0.0, 0.5))
+        for w in (0.0, 0.5):
+            want = top(rp.rk.first_k(base, f, now, 5, rp.rk.by_hybrid(pairs, w)))
+            assert len(want) > 250 and top(got.where(rp.F.col("weight") == w)) == want
