@@ -44,7 +44,7 @@ def ranked(kind, spark, sf, unit=3, k=K):
     if kind == "symbolic":
         own = rk.by_rules_of_fold(order, f, v.rules(spark), conditions_of(spark, sf, f), s)
     if kind == "hybrid":
-        own = rk.by_hybrid(rk.hybrid_parts(order.select("fold", "cls", "score"), v.rules(spark), conditions_of(spark, sf, f), s, f))
+        return s, f, rk.hybrid_first_k(order, v.rules(spark), conditions_of(spark, sf, f), s, f, k).drop("weight")
     return s, f, rk.first_k(order, f, now, k, own)
 
 
