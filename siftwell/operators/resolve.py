@@ -101,10 +101,11 @@ def composite(names: DataFrame, forms: DataFrame) -> DataFrame:
     """A mention's parts in order: whole, before ':', before '(', in '('; differing codes are ambiguous."""
     low = F.lower("name")
     parts = F.array(low, F.trim(F.substring_index(low, ":", 1)), F.trim(F.substring_index(low, "(", 1)), F.trim(F.regexp_extract(low, r"\(([^()]*)\)", 1)))
+    names = names.select("name").distinct()  # all that follows is in proportion to the names, not to their mentions
     rows = names.select("name", F.posexplode(parts).alias("place", "form")).where("form != ''")
     hit = rows.join(forms.select("form", "code"), "form")
     agg = hit.groupBy("name").agg(F.countDistinct("code").alias("n"), F.min(F.struct("place", "code")).alias("first"))
-    out = names.select("name").distinct().join(agg, "name", "left")
+    out = names.join(agg, "name", "left")
     status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("nil")
     return out.select("name", status.alias("status"), F.when(F.col("n") == 1, F.col("first.code")).alias("code"))
 

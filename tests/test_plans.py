@@ -101,3 +101,11 @@ def test_hybrid_in_rows_is_the_hybrid_of_pairs(spark, monkeypatch):
         for w in (0.0, 0.5):
             want = top(rp.rk.first_k(base, f, now, 5, rp.rk.by_hybrid(pairs, w)))
             assert len(want) > 250 and top(got.where(rp.F.col("weight") == w)) == want
+
+
+def test_composite_reads_a_name_once(spark):
+    names = spark.createDataFrame([("a (b): c",)] * 5 + [("zz",)], "name string")
+    forms = spark.createDataFrame([("a", "1"), ("b", "1"), ("q", "2")], "form string, code string")
+    out = tp.rs.composite(names, forms)
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
+    assert sorted(tuple(r) for r in out.collect()) == [("a (b): c", "resolved", "1"), ("zz", "nil", None)]
