@@ -63,9 +63,10 @@ def contra_reasons(drugs: DataFrame, conditions: DataFrame, contra: DataFrame, a
     else:
         facts = facts.withColumn("only_a", F.lit(False))
     fired = facts.join(F.broadcast(contra), "trigger").groupBy("enc", "rule_id", "target", "verdict", "revoked", "missing").agg(F.min(F.coalesce("only_a", F.lit(False))).alias("only_a"), F.max(F.coalesce("only_a", F.lit(False))).alias("any_a"))
-    revoking = conditions.select("enc", F.explode(prefixes("cond")).alias("revoked")).distinct()
+    of_rules = lambda df, c: df.join(F.broadcast(contra.select(c).distinct()), c, "left_semi")  # noqa: E731 - other prefixes meet no rule
+    revoking = of_rules(conditions.select("enc", F.explode(prefixes("cond")).alias("revoked")), "revoked").distinct()
     live = fired.join(revoking, ["enc", "revoked"], "left_anti")
-    targets = drugs.select("enc", "cls", F.explode(prefixes("cls")).alias("target"))
+    targets = of_rules(drugs.select("enc", "cls", F.explode(prefixes("cls")).alias("target")), "target").select("enc", "cls", "target")
     hits = targets.join(live, ["enc", "target"])
     weak = (F.col("missing").isNotNull() | F.col("only_a")) & (F.col("verdict") == FORBIDDEN)
     named = hits.select("enc", "cls", F.concat(F.lit("contra_"), F.col("rule_id").cast("string")).alias("reason"), F.when(weak, VERIFY).otherwise(F.col("verdict")).alias("verdict"))

@@ -109,3 +109,11 @@ def test_composite_reads_a_name_once(spark):
     out = tp.rs.composite(names, forms)
     assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString().split("Generate")[1]
     assert sorted(tuple(r) for r in out.collect()) == [("a (b): c", "resolved", "1"), ("zz", "nil", None)]
+
+
+def test_rules_join_only_prefixes_that_rules_name(spark):
+    drugs = spark.createDataFrame([(1, "E01"), (1, "X11"), (2, "S22")], "enc long, cls string")
+    cond = spark.createDataFrame([(1, "MBU"), (2, "N11"), (2, "MAU")], "enc long, cond string")
+    out = ap.ru.contra_reasons(drugs, cond, ap.v.contra(spark))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "E01", "contra_1", "forbidden")]
