@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
@@ -87,14 +86,12 @@ def token_offsets(spark, sf):
 x as (select *, min(case when tok = 'and' or contains(tok, '.') then pos end) over (partition by doc_id order by pos rows between 1 following and unbounded following) stop, max(pos) over (partition by doc_id) top from t),
 s as (select doc_id, pos, least(coalesce(stop, top + 1), pos + 5, top + 1) fin from x where tok = 'was') select doc_id, pos::int as pos, (fin - pos - 1)::int as width from s""")
 def marker_native(spark, sf):
-    """A forward scope of four tokens as windows: the next terminator at or after each token."""
-    t = docs(spark, sf).select("doc_id", F.posexplode(F.split(F.lower("text"), " ", -1)).alias("pos", "tok"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    stop = F.min(F.when((F.col("tok") == "and") | F.contains("tok", F.lit(".")), F.col("pos"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    top = F.max("pos").over(Window.partitionBy("doc_id"))
-    s = t.withColumn("stop", stop).withColumn("top", top).where("tok = 'was'")
-    fin = F.least(F.coalesce("stop", F.col("top") + 1), F.col("pos") + 5, F.col("top") + 1)
-    return s.select("doc_id", "pos", (fin - F.col("pos") - 1).alias("width"))
+    """A forward scope of four tokens within the text's row: up to the first terminator of the four after the marker."""
+    d = docs(spark, sf).select("doc_id", F.split(F.lower("text"), " ", -1).alias("w"))
+    scopes = F.transform("w", lambda x, i: F.when(x == "was", F.struct(i.alias("pos"), F.slice("w", i + 2, 4).alias("after"))))
+    s = d.select("doc_id", F.explode(F.filter(scopes, lambda x: x.isNotNull())).alias("s")).select("doc_id", "s.pos", "s.after")
+    stop = F.array_position(F.transform("after", lambda x: (x == "and") | F.contains(x, F.lit("."))), True).cast("int")
+    return s.select("doc_id", "pos", F.when(stop > 0, stop - 1).otherwise(F.size("after")).alias("width"))
 
 
 @register("record_anomalies", """with d as (select page_id, case when page_id % 10 = 0 then page_id - 1 else page_id end enc, page_id % 7 m from pages),

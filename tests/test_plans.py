@@ -7,6 +7,7 @@ import pytest
 
 from siftwell.plans import alignment as ap
 from siftwell.plans import assembly as asp
+from siftwell.plans import mentions as mp
 from siftwell.plans import ranking as rp
 from siftwell.plans import text as tp
 
@@ -117,3 +118,11 @@ def test_rules_join_only_prefixes_that_rules_name(spark):
     out = ap.ru.contra_reasons(drugs, cond, ap.v.contra(spark))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 2
     assert sorted(tuple(r) for r in out.collect()) == [(1, "E01", "contra_1", "forbidden")]
+
+
+def test_marker_scopes_stay_in_their_row(spark, tmp_path):
+    texts = [(1, "it Was a b c d e"), (2, "was and"), (3, "x was a b.c was"), (4, None), (5, "was was a and")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = mp.marker_native(spark, str(tmp_path))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 4), (2, 0, 0), (3, 1, 1), (3, 4, 0), (5, 0, 2), (5, 1, 1)]
